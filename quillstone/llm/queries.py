@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import packing, simhash
+from quillstone.llm import packing, simhash, substrings
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.result(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op9_simhash": op9_simhash,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLES: dict[str, str] = {}
