@@ -223,3 +223,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 def result(found: DataFrame) -> DataFrame:
     """The fingerprint as 16 lowercase hex digits."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents linked to one with a smaller
+    id.  Rows with a null id stay."""
+    lost = near_duplicates(docs, words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")

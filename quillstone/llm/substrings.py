@@ -332,35 +332,54 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return result
 
 
-def _keep(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("removed", pa.list_(pa.int64())), ("kept", pa.binary())])
+_KEPT = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("removed", pa.list_(pa.int64())), ("kept", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_bytes, n_removed, n_spans, removed, kept = [], [], [], [], []
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                out, gone, at, merged = [], 0, 0, []
-                if found.is_valid:
-                    s = np.sort(found.values.to_numpy())
-                    start, end = s >> 32, np.maximum.accumulate(s & 0xFFFFFFFF)
-                    k = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
-                    for a, b in zip(start[k].tolist(), end[np.append(k[1:], len(s)) - 1].tolist()):
-                        out.append(text[at:a])
-                        gone, at = gone + b - a, b
-                        merged += [a, b]
-                out.append(text[at:])
-                n_bytes.append(len(text)), n_removed.append(gone), n_spans.append(len(merged) // 2), removed.append(merged), kept.append(b"".join(out))
-            yield _batch(schema, batch.column(0), n_bytes, n_removed, n_spans, removed, kept)
 
-    return run
+def _keep(text: bytes, found: np.ndarray) -> tuple[int, int, int, list[int], bytes]:
+    out, gone, at, merged = [], 0, 0, []
+    if len(found):
+        s = np.sort(found)
+        start, end = s >> 32, np.maximum.accumulate(s & 0xFFFFFFFF)
+        k = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+        for a, b in zip(start[k].tolist(), end[np.append(k[1:], len(s)) - 1].tolist()):
+            out.append(text[at:a])
+            gone, at = gone + b - a, b
+            merged += [a, b]
+    out.append(text[at:])
+    return len(text), gone, len(merged) // 2, merged, b"".join(out)
+
+
+def _kept(text: pa.Array, found: pa.Array) -> pa.Array:
+    rows = [_keep(t, f.values.to_numpy() if f.is_valid else np.zeros(0, np.int64)) for t, f in zip(text.cast(pa.binary()).to_pylist(), found)]
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT)], fields=list(_KEPT))
+
+
+def _joined(docs: DataFrame, length: int) -> DataFrame:
+    """All rows and columns, and ``_r`` with what is removed and kept."""
+    found = spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rows.join(found.hint("merge"), (rows["doc_id"].cast("long") == found["_id"]) & (F.xxhash64("_text") == found["_th"]), "left")
+    return rows.withColumn("_r", F.arrow_udf(_kept, "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")("_text", "_spans"))
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, removed`` (starts and ends in turn) ``, kept`` (bytes)
     of every row."""
-    found = spans(docs, length)
-    rows = common.texts(docs).withColumn("th", F.xxhash64("text")).join(found.hint("merge"), ["doc_id", "th"], "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")
+    return _joined(common.texts(docs), length).select("doc_id", "_r.*")
+
+
+def cleaned(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts (bytes of cut characters go) and, where
+    there is such a column, its length in ``n_chars``."""
+    rows = _joined(docs, length).withColumn("text", F.when(F.col("_r.n_removed") > 0, F.arrow_udf(_decoded, "string")("_r.kept")).otherwise(F.col("_text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def _decoded(kept: pa.Array) -> pa.Array:
+    return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
 
 
 def digest(found: DataFrame) -> DataFrame:
