@@ -23,12 +23,19 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again, with its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; one of our own is made only where that
-    is unset and none was set by hand, as in local tests.
+    is unset and none was set by hand, as in local tests.  The shuffle files behind it go as soon as
+    it is written: nothing can ask for them again.
     """
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstone-"))
-    return df.checkpoint(eager=True)
+    before = conf.get(clean, None)
+    conf.set(clean, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under this setting
+    finally:
+        conf.unset(clean) if before is None else conf.set(clean, before)
 
 
 def held_out(doc_id: Column) -> Column:

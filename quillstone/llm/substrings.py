@@ -27,7 +27,6 @@ result; other columns are not read.  Positions are bytes, so spans may cut chara
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,12 +295,6 @@ def _search(length: int):
     return run
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, th`` (hash of the text) ``, spans``: parts to remove as ``start << 32 | end``, in no
     order and overlapping; for copies of whole texts the span of the whole."""
@@ -317,19 +310,16 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     found = docs.mapInArrow(_find_anchors(length), "h long, doc_id long, at int")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).cast("int").alias("hot"))
     marks = found.join(often.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 2 + F.col("hot")).alias("hits"))
-    marks = common.durable(marks)
-    del found, often
-    _release(spark)
+    # whole copies go here, beside the small table, so that texts are shuffled once and by one key
+    dropped = copies.groupBy("doc_id").agg(F.collect_set("th").alias("dropped"))
+    marks = common.durable(marks.join(dropped.hint("merge"), "doc_id", "left"))
     pieces = marks.select(F.sum(F.size("hits"))).first()[0] or 0
-    rows = keyed.join(marks.hint("merge"), "doc_id").join(copies.hint("merge"), ["doc_id", "th"], "left_anti")
+    rows = keyed.join(marks.hint("merge"), "doc_id").where(~F.coalesce(F.array_contains("dropped", F.col("th")), F.lit(False)))
     cut = rows.select("doc_id", "th", "text", "hits").sortWithinPartitions("doc_id").mapInArrow(_cut_pieces(length), "key long, doc_id long, th long, first long, last long, bytes binary")
     parts = max(spark.sparkContext.defaultParallelism, int(pieces * 1.5 * length) // PART)
     dealt = cut.repartition(parts, "key").sortWithinPartitions("doc_id", "first")
     parts_found = dealt.mapInArrow(_search(length), "doc_id long, th long, span long").groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
-    result = common.durable(parts_found.unionAll(copies.select("doc_id", "th", F.array("span").alias("spans"))))
-    del rows, cut, dealt, parts_found, marks
-    _release(spark)
-    return result
+    return common.durable(parts_found.unionAll(copies.select("doc_id", "th", F.array("span").alias("spans"))))
 
 
 _KEPT = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("removed", pa.list_(pa.int64())), ("kept", pa.binary())])
