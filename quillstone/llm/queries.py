@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import packing, quality, simhash, substrings, toxicity
+from quillstone.llm import mtree, packing, quality, sharding, simhash, sql, substrings, toxicity
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.integers(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,10 +44,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op4_sharding": op4_sharding,
+    "op6_mtree": op6_mtree,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_substrings": op10_substrings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_sharding": sql.OP4_SHARDING,
+    "op6_mtree": sql.OP6_MTREE,
+}
