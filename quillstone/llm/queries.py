@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import mtree, packing, quality, sharding, simhash, sql, substrings, toxicity
+from quillstone.llm import jpeg, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -21,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digest(jpeg.tensors(jpeg.stored(table(spark, sf_dir, "documents"))))
+
+
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = mtree.integers(table(spark, sf_dir, "embeddings"))
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -43,8 +52,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
+    "op5_jpeg": op5_jpeg,
     "op6_mtree": op6_mtree,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
