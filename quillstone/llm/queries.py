@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import jpeg, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
+from quillstone.llm import jpeg, maskedlm, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_maskedlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maskedlm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), limit=1 << 20)
 
@@ -54,6 +58,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
+    "op3_maskedlm": op3_maskedlm,
     "op4_sharding": op4_sharding,
     "op5_jpeg": op5_jpeg,
     "op6_mtree": op6_mtree,
