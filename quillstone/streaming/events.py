@@ -84,10 +84,17 @@ def cooled(events: DataFrame, key: str = "session_id", seconds: int = 60) -> Dat
     return events.groupBy(key).applyInPandasWithState(gate, f"{key} string, n int, event_ids array<string>", "last double, waiting array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there and stops (a scheduled batch)."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
+def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", idle_batches: bool = True) -> None:
+    """Runs a stream over all that is there and stops (a scheduled batch).  Streams whose state has
+    processing-time timeouts ask for batches without data for ever; run them without such."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(idle_batches).lower())
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 def continuous(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds", mode: str = "append"):

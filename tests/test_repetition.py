@@ -43,7 +43,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
     got = []
-    streaming.drained(streaming.repeated(stream, SETTINGS), lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "c"))
+    streaming.drained(streaming.repeated(stream, SETTINGS), lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "c"), idle_batches=False)
     want = [tuple(r) for r in repetition.batch(frame, "ts", SETTINGS).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
