@@ -43,9 +43,23 @@ def test_frequencies_are_those_of_all_segmentations(vocabulary, sharpness):
 
 
 def test_parts_have_no_piece_across(vocabulary):
-    assert all("\n" not in p and (" " not in p.lstrip(" ")) for p in vocabulary.pieces)
-    text = "  two  words,\n\nand more \n"
-    assert "".join(pieces.PARTS(text)) == text
+    text = "  two  words,\n\nand more \n 字字 é字 öß êxç"
+    parts = vocabulary.parts(text)
+    assert "".join(parts) == text
+    cuts = list(itertools.accumulate(map(len, parts)))[:-1]
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            if text[i:j] in vocabulary.pieces:
+                assert not any(i < c < j for c in cuts)
+
+
+def test_long_parts_agree_with_short_ones(vocabulary):
+    text = "thethethe" * 7
+    assert len(text) > 50 and len(vocabulary.parts(text)) == 1
+    n = 3000
+    sampler = pieces.Sampler(vocabulary, 1.0)
+    out = sampler.encode_all([text] * n, pieces.mix(np.arange(n, dtype=np.uint64)))
+    assert all(vocabulary.decode(o).decode() == text for o in out) and len(set(out)) > 100
 
 
 def test_odd_rows_round_trip(odd, none):
