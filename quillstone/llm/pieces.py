@@ -6,9 +6,9 @@ backward sampling walks from the end, choosing each edge in proportion to the we
 through it.  So every segmentation is drawn with its probability under the pieces' weights, raised
 to ``sharpness``.  A piece's weight falls with its rank in the vocabulary, as 1 / (2 + rank).
 
-No piece holds a blank after another character, nor a line feed, so the lattice is a chain of parts
-with no edge across; a part's tables are made once per worker and all parts of many texts are
-sampled at once with numpy.  The random numbers are a hash of seed, row key and place, hence equal
+Two characters that are neighbours in no piece have no edge across, so a text falls into a chain of
+parts there; the lattices of the distinct parts of some texts are filtered and sampled at once with
+numpy.  The random numbers are a hash of seed, row key and place, hence equal
 for a row wherever and whenever it is read.
 
 Decoding joins the bytes of the pieces, and gives back every text exactly.
@@ -20,7 +20,6 @@ the same pieces; an empty table gives an empty result; other columns are not rea
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,14 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import common
 
-PARTS = re.compile(r"\n| *[^ \n]+| +").findall
+#: Neighbours are looked up for characters below this; above it, texts are cut at blanks only.
+LATIN = 0x250
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Of a byte piece; it competes with no other.
 BYTE_WEIGHT = math.log(1e-5)
+#: Codes of bytes follow the last character.  Weights are raised by so much per code, which leaves
+#: the shares of segmentations as they are and their sums near one.
+_BYTE, _TILT = 0x110000, 2.5
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -62,9 +65,24 @@ class Vocabulary:
             else:
                 text = piece.replace("▁", " ")
                 self.surface.append(text.encode())
-                if not re.search(r"[^ ] |\n", text):
-                    self.pieces[text] = (i, -math.log(2 + min(-model.get_score(i), 1e6)))
-        self.longest = max(map(len, self.pieces))
+                self.pieces[text] = (i, -math.log(2 + min(-model.get_score(i), 1e6)))
+        #: Whether two characters are neighbours in a piece; the last row and column are for the others.
+        self.joined = np.zeros((LATIN + 1, LATIN + 1), bool)
+        self.joined[LATIN] = self.joined[:, LATIN] = True
+        after_other = any(a != " " and b == " " for t in self.pieces for a, b in zip(t, t[1:]))
+        self.joined[LATIN, 32] = after_other
+        for text in self.pieces:
+            for a, b in zip(text, text[1:]):
+                self.joined[min(ord(a), LATIN), min(ord(b), LATIN)] = True
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut wherever no piece can lie across."""
+        if not text:
+            return []
+        c = np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), LATIN)
+        cut = np.flatnonzero(~self.joined[c[:-1], c[1:]]) + 1
+        bounds = [0, *cut.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
     @classmethod
     def shared(cls, path: str) -> "Vocabulary":
@@ -77,14 +95,32 @@ class Vocabulary:
 
 
 class Sampler:
-    """Lattices of parts as flat tables.  Node k's incoming edges are ``first[k]`` and the
-    ``degree[k] - 1`` after it; an alias table picks one with a single random number."""
+    """Samples many texts at once.  The lattices of their distinct parts are laid out as arrays: a
+    node per code (a character, or a byte of one that is no piece), edges sorted by the node they
+    enter, each with the summed share of the edges up to it."""
 
     _shared: dict[tuple[str, float], "Sampler"] = {}
 
-    def __init__(self, vocabulary: Vocabulary, sharpness: float, most_nodes: int = 4_000_000):
-        self.vocabulary, self.sharpness, self.most = vocabulary, sharpness, most_nodes
-        self._clear()
+    def __init__(self, vocabulary: Vocabulary, sharpness: float):
+        self.vocabulary, self.longest = vocabulary, max(map(len, vocabulary.pieces))
+        coded = {tuple(map(ord, t)): found for t, found in vocabulary.pieces.items()}
+        coded |= {(_BYTE + b,): (i, BYTE_WEIGHT / sharpness) for b, i in vocabulary.bytes.items()}
+        self.single = np.array(sorted(c[0] for c in coded if len(c) == 1))
+        # by length: hashes of all beginnings of pieces, and for each its piece (or -1) and weight
+        self.tables = []
+        for n in range(1, self.longest + 1):
+            starts = {c[:n] for c in coded if len(c) >= n}
+            rows = sorted((self._hash(c), *coded.get(c, (-1, 0.0))) for c in starts)
+            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.exp(np.array([r[2] for r in rows]) * sharpness + _TILT * n)))
+            if len(np.unique(self.tables[-1][0])) != len(rows):
+                raise ValueError("two pieces have one hash")
+
+    @staticmethod
+    def _hash(codes: tuple[int, ...]) -> int:
+        h = 0
+        for c in codes:
+            h = (h * int(_GOLD) + c + 1) % (1 << 64)
+        return h
 
     @classmethod
     def shared(cls, path: str, sharpness: float) -> "Sampler":
@@ -92,124 +128,107 @@ class Sampler:
             cls._shared[path, sharpness] = cls(Vocabulary.shared(path), sharpness)
         return cls._shared[path, sharpness]
 
-    def _clear(self) -> None:
-        self.ends: dict[str, int] = {}
-        self.nodes = [np.zeros(0, np.int32)] * 2  # first, degree
-        self.edges = [np.zeros(0, np.float32), *[np.zeros(0, np.int32)] * 3]  # share, other edge, from, piece
-        self.counts = [0, 0]
-        self.fresh: tuple[list, ...] = ([], [], [], [], [], [])
-
-    def _incoming(self, part: str) -> list[list[tuple[int, int, float]]]:
-        """Edges (from, piece, weight) into each node but the first; byte pieces get nodes between."""
-        v, found = self.vocabulary, self.vocabulary.pieces
-        spell = [[] if c in found else list(c.encode()) for c in part]
-        at, n = [0], 0
-        for s in spell:
-            n += max(1, len(s))
-            at.append(n)
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(len(part)):
-            if spell[i]:
-                for k, b in enumerate(spell[i]):
-                    into[at[i] + k + 1].append((at[i] + k, v.bytes[b], BYTE_WEIGHT))
-                continue
-            for j in range(i + 1, min(len(part), i + v.longest) + 1):
-                piece = found.get(part[i:j])
-                if piece is not None:
-                    into[at[j]].append((at[i], piece[0], piece[1] * self.sharpness))
-        return into
-
-    def _learn(self, part: str) -> None:
-        firsts, degrees, shares, others, froms, pieces = self.fresh
-        base, edge = self.counts[0] + len(firsts), self.counts[1] + len(shares)
-        into = self._incoming(part)
-        alpha = [0.0] * len(into)  # log of the summed weights of the paths to a node
-        firsts.append(edge)
-        degrees.append(0)
-        exp, log = math.exp, math.log
-        for k in range(1, len(into)):
-            own = into[k]
-            firsts.append(edge)
-            n = len(own)
-            degrees.append(n)
-            edge += n
-            if n == 1:
-                j, piece, w = own[0]
-                alpha[k] = alpha[j] + w
-                shares.append(1.0)
-                others.append(0)
-                froms.append(base + j if j else -1)
-                pieces.append(piece)
-                continue
-            logs = [alpha[j] + w for j, _, w in own]
-            top = max(logs)
-            weights = [exp(x - top) for x in logs]
-            total = sum(weights)
-            alpha[k] = top + log(total)
-            share = [x * n / total for x in weights]
-            other = list(range(n))
-            small = [i for i in range(n) if share[i] < 1]
-            large = [i for i in range(n) if share[i] >= 1]
-            while small and large:
-                a, b = small.pop(), large[-1]
-                other[a] = b
-                share[b] -= 1 - share[a]
-                if share[b] < 1:
-                    small.append(large.pop())
-            for i in small + large:
-                share[i] = 1.0
-            shares += share
-            others += [o - i for i, o in enumerate(other)]
-            froms += [base + j if j else -1 for j, _, _ in own]
-            pieces += [p for _, p, _ in own]
-        self.ends[part] = base + len(into) - 1
-
-    def _settle(self) -> None:
-        tables = [*self.nodes, *self.edges]
-        for k, new in enumerate(self.fresh):
-            used = self.counts[k > 1]
-            if used + len(new) > len(tables[k]):
-                tables[k] = np.concatenate([tables[k][:used], np.zeros(used // 2 + len(new), tables[k].dtype)])
-            tables[k][used : used + len(new)] = new
-        self.counts[0] += len(self.fresh[0])
-        self.counts[1] += len(self.fresh[2])
-        self.nodes, self.edges = tables[:2], tables[2:]
-        self.fresh = ([], [], [], [], [], [])
+    def _codes(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all parts and where each part begins."""
+        flat = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.int64)
+        begin = np.cumsum([0, *map(len, parts)])
+        odd = ~np.isin(flat, self.single)
+        if odd.any():
+            spelled = {int(c): np.frombuffer(chr(c).encode(), np.uint8).astype(np.int64) + _BYTE for c in np.unique(flat[odd])}
+            size = np.ones(len(flat), np.int64)
+            size[odd] = [len(spelled[c]) for c in flat[odd].tolist()]
+            at = np.concatenate([[0], np.cumsum(size)])
+            out = np.repeat(flat, size)
+            for i in np.flatnonzero(odd).tolist():
+                out[at[i] : at[i + 1]] = spelled[int(flat[i])]
+            flat, begin = out, at[begin]
+        return flat, begin
+
+    def _lattice(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Each part's last node; each node's first edge; edges' summed share, origin, piece."""
+        code, begin = self._codes(parts)
+        n = len(code)
+        length = np.diff(begin)
+        end = np.repeat(begin[1:], length)
+        offset = np.arange(n) - np.repeat(begin[:-1], length)
+        live, h = np.arange(n), np.zeros(n, np.uint64)
+        into, origin, piece, weight = [], [], [], []
+        for size, (hashes, ids, weights) in enumerate(self.tables, 1):
+            inside = live + size <= end[live]
+            live, h = live[inside], h[inside]
+            if not len(live):
+                break
+            h = h * _GOLD + code[live + size - 1].astype(np.uint64) + np.uint64(1)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[k] == h
+            live, h, k = live[known], h[known], k[known]
+            whole = ids[k] >= 0
+            into.append(live[whole] + size - 1)
+            origin.append(live[whole] - 1)
+            piece.append(ids[k[whole]])
+            weight.append(weights[k[whole]])
+        into, origin, piece, weight = map(np.concatenate, (into, origin, piece, weight))
+        order = np.lexsort((-origin, into))  # short edges first
+        into, origin, piece, weight = into[order], origin[order], piece[order], weight[order]
+        start = offset[origin + 1] == 0  # the edge leaves the part's beginning
+        # forward filtering: all nodes at one distance from their parts' beginnings at a time
+        first = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+        degree = np.diff(np.append(first, len(into)))
+        rank = np.arange(len(into)) - np.repeat(first, degree)
+        alpha = np.zeros(n)
+        share = np.empty(len(into))
+        by_step = np.argsort(offset[into], kind="stable")
+        bounds = np.searchsorted(offset[into][by_step], np.arange(int(length.max()) + 1))
+        for step in range(len(bounds) - 1):
+            e = by_step[bounds[step] : bounds[step + 1]]
+            p = np.where(start[e], 1.0, alpha[origin[e]]) * weight[e]
+            if step >= self.longest:
+                p = np.where(start[e], 0.0, p)
+            heads = np.flatnonzero(rank[e] == 0)
+            total = np.add.reduceat(p, heads)
+            node = into[e[heads]]
+            share[e] = p / np.repeat(total, np.diff(np.append(heads, len(e))))
+            alpha[node] = total
+            if step % 32 == 31:  # only ratios matter: bring each part's newest nodes back to one
+                for back in range(min(self.longest, step + 1) - 1, -1, -1):
+                    alpha[node - back] /= total
+        for k in range(1, int(degree.max())):
+            at = np.flatnonzero(rank == k)
+            share[at] += share[at - 1]
+        share[np.append(first[1:], len(into)) - 1] = 2.0
+        edge = np.zeros(n, np.int64)
+        edge[into[first]] = first
+        return begin[1:] - 1, edge, share, np.where(start, -1, origin), piece
 
     def encode_all(self, texts: list[str], keys: np.ndarray) -> list[bytes]:
         """Piece numbers of each text as little-endian uint32; ``keys``: uint64 per text."""
-        if self.counts[0] > self.most:
-            self._clear()
-        parts = [PARTS(t) for t in texts]
-        ends, new = self.ends, set()
-        for p in parts:
-            new.update(p)
-        for p in new:
-            if p not in ends:
-                self._learn(p)
-        self._settle()
+        parts = [self.vocabulary.parts(t) for t in texts]
+        known: dict[str, int] = {}
+        number = np.array([known.setdefault(x, len(known)) for p in parts for x in p], np.int64)
+        if not len(number):
+            return [b""] * len(texts)
+        last, first, share, origin, piece = self._lattice(list(known))
         sizes = np.array([len(p) for p in parts])
-        node = np.array([ends[x] for p in parts for x in p], np.int64)
+        node = last[number]
         ordinal = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         key = mix(np.repeat(keys, sizes) + ordinal.astype(np.uint64) * _GOLD)
-        first, degree = self.nodes
-        share, other, origin, piece = self.edges
         live, steps, counts = np.arange(len(node)), [], np.zeros(len(node), np.int64)
         step = 0
         while len(live):
-            n = degree[node]
-            u = (mix(key + np.uint64(step * int(_GOLD) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * (n * 2.0**-53)
-            slot = u.astype(np.int64)
-            edge = first[node] + slot
-            edge += np.where(u - slot < share[edge], 0, other[edge])
+            u = (mix(key + np.uint64(step * int(_GOLD) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = first[node]
+            on = np.flatnonzero(u >= share[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= share[edge[on]]]
             steps.append((live, piece[edge]))
             counts[live] += 1
             node = origin[edge]
-            on = node >= 0
-            live, node, key = live[on], node[on], key[on]
+            left = node >= 0
+            live, node, key = live[left], node[left], key[left]
             step += 1
         stop = np.cumsum(counts)
-        out = np.empty(int(stop[-1]) if len(stop) else 0, "<u4")
+        out = np.empty(int(stop[-1]), "<u4")
         for k, (which, pieces) in enumerate(steps):
             out[stop[which] - 1 - k] = pieces
         bounds = np.concatenate([[0], np.cumsum(sizes)])
