@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
         conf.unset(clean) if before is None else conf.set(clean, before)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that few texts are Python objects at a time."""
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold whose labels no model may learn from: crc32 of the id as text, mod 3, is 1."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1

@@ -151,9 +151,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                keys = batch.column(0).to_pylist()
-                for key, ids in zip(keys, words.encode_all(batch.column(1).to_pylist())):
-                    yield from packer.add(key, ids + end)
+                for part in common.slices(batch):
+                    for key, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1).to_pylist())):
+                        yield from packer.add(key, ids + end)
             yield from packer.flush()
 
         yield from _batches(rows())

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.encode(), words) for t in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t.encode(), words) for part in common.slices(batch) for t in part.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_FP)
 
     return common.texts(docs).mapInArrow(run, "doc_id long, fp long")

@@ -40,7 +40,7 @@ ANCHOR = 32
 #: Occurrences of an anchor from which its windows are dealt out one by one.
 HOT = 2000
 #: Bytes of suffixes that a batch of a family takes in, and that a partition is planned for.
-BATCH, PART = 4_000_000, 12_000_000
+BATCH, PART = 2_000_000, 12_000_000
 #: Odd multipliers of the fingerprints; any will do, since matches are compared byte by byte.
 _M = [np.uint64(int.from_bytes(__import__("hashlib").sha256(b"%d" % i).digest()[:8], "little") | 1) for i in range(64)]
 
@@ -309,6 +309,7 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     found = docs.mapInArrow(_find_anchors(length), "h long, doc_id long, at int")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).cast("int").alias("hot"))
+    often = common.durable(often)  # read from a table, the join's sides are plain exchanges, which Spark splits where skewed
     marks = found.join(often.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 2 + F.col("hot")).alias("hits"))
     # whole copies go here, beside the small table, so that texts are shuffled once and by one key
     dropped = copies.groupBy("doc_id").agg(F.collect_set("th").alias("dropped"))
@@ -340,7 +341,9 @@ def _keep(text: bytes, found: np.ndarray) -> tuple[int, int, int, list[int], byt
 
 
 def _kept(text: pa.Array, found: pa.Array) -> pa.Array:
-    rows = [_keep(t, f.values.to_numpy() if f.is_valid else np.zeros(0, np.int64)) for t, f in zip(text.cast(pa.binary()).to_pylist(), found)]
+    none = np.zeros(0, np.int64)
+    parts = ((text.slice(a, 500).cast(pa.binary()).to_pylist(), found.slice(a, 500)) for a in range(0, len(text), 500))
+    rows = [_keep(t, f.values.to_numpy() if f.is_valid else none) for ts, fs in parts for t, f in zip(ts, fs)]
     columns = list(zip(*rows)) or [()] * 5
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT)], fields=list(_KEPT))
 

@@ -26,13 +26,13 @@ PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 class WordIds:
     _shared: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 250_000, most_runs: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(self.tokenizer.get_vocab_size())])
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
-        self.most = most_words
+        self.most, self.most_runs = most_words, most_runs  # of some 200 bytes each
 
     @classmethod
     def shared(cls, path: str) -> "WordIds":
@@ -58,7 +58,7 @@ class WordIds:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.words) > self.most:
             self.words.clear()
-        if len(self.runs) > self.most:
+        if len(self.runs) > self.most_runs:
             self.runs = {"": b""}
         parts = [(w, PARTS(w.decode().lower())) for w in words]
         self._learn_runs(list({r for _, m in parts if m for r in m.groups() if r not in self.runs}))
