@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm import common
+from quillstone.llm import common, nearcopies
 from quillstone.llm.components import components
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -225,8 +225,11 @@ def result(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+def without_copies(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with all their columns, but for documents linked to one with a smaller
-    id.  Rows with a null id stay."""
-    lost = near_duplicates(docs, words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    id: by fingerprints within the radius, or by the exact Jaccard similarity of their shingles.
+    Rows with a null id stay."""
+    close = near_duplicates(docs, words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    groups = components(close.unionAll(nearcopies.links(docs, words, similarity)))
+    lost = groups.where("component < node").select(F.col("node").alias("_lost"))
     return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
