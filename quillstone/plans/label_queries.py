@@ -364,3 +364,22 @@ def weak_categories_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.element_at(F.array(*map(F.lit, lines)), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t", text.weak_categories(F.col("t")).alias("categories"))
     return rows.select("doc_id", "categories", text.weak_label(F.col("categories"), text.matched_words(F.col("t"), ["the"])).alias("weak_label"))
+
+
+def _weak_sql() -> str:
+    """Categories and label of every document's whole text, with the whole bank of patterns.
+    DuckDB's word boundaries are those of ASCII, hence other letters become an underscore."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    found = ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(t, {quote(p)})' for p in patterns)} THEN {quote(name)} END" for name, patterns in text.WEAK_CATEGORIES.items())
+    failures = ", ".join(map(quote, text.FAILURE_CATEGORIES))
+    return f"""WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}]', '_', 'g') AS t FROM documents),
+  c AS (SELECT doc_id, list_contains(regexp_extract_all(t, '[a-z]+'), 'the') AS hit, list_filter([{found}], lambda k: k IS NOT NULL) AS categories FROM t)
+  SELECT doc_id, categories, CASE WHEN list_has_any(categories, [{failures}]) THEN 'agent_failure_candidate'
+    WHEN hit AND list_contains(categories, 'question_confusion') THEN 'needs_review' WHEN hit THEN 'trigger_only' ELSE 'ordinary' END AS weak_label FROM c"""
+
+
+@query(_weak_sql())
+def weak_categories_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.matched_words(t, ["the"]).alias("m"), text.weak_categories(t).alias("categories"))
+    return rows.select("doc_id", "categories", text.weak_label(F.col("categories"), F.col("m")).alias("weak_label"))
