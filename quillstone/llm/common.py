@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,25 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """All columns of a table in one, ``row``, so that what an operator adds clashes with none of them."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again, with its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; one of our own is made only where that
-    is unset and none was set by hand, as in local tests.  The shuffle files behind it go as soon as
+    is unset, none was set by hand and the master is local, as in tests.  The shuffle files behind it go as soon as
     it is written: nothing can ask for them again.
     """
     conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstone-"))
     before = conf.get(clean, None)
     conf.set(clean, "true")
     try:
@@ -40,10 +50,24 @@ def durable(df: DataFrame) -> DataFrame:
         conf.unset(clean) if before is None else conf.set(clean, before)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that few texts are Python objects at a time."""
-    for a in range(0, len(batch), rows):
-        yield batch.slice(a, rows)
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of a text column (a longer text is a part of its own),
+    so that few texts are Python objects at a time, however long they are."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def released(rows: Iterator) -> Iterator:
+    """The rows of a task; what its buffers took goes back to the system at its end, since the
+    worker process lives on for other tasks."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,7 +80,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
     Which rows: those with the smallest hash of the id, hence a uniform and repeatable sample that
     depends on nothing but the ids.  The rows are picked among the labels alone, before any text
-    is read, and only then joined (the picked side has at most ``limit`` rows).
+    is read, and only then joined (the picked side has at most ``limit`` rows).  Of documents that
+    share an id one, with the least hash of its text, is taken, so the bound holds for repeated ids too.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -65,4 +90,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return texts(docs).join(F.broadcast(picked), "doc_id")
+    found = texts(docs).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.text", "r.y")

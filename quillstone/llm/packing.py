@@ -126,7 +126,7 @@ class Packer:
             yield from self._emit(pieces)
 
 
-def _batches(rows: Iterable[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterable[tuple], size: int = 1000) -> Iterator[pa.RecordBatch]:
     block: list[tuple] = []
     for row in rows:
         block.append(row)
@@ -151,12 +151,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for part in common.slices(batch):
-                    for key, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1).to_pylist())):
-                        yield from packer.add(key, ids + end)
+                for part in common.slices(batch, most=6_000_000):
+                    for key, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1))):
+                        yield from packer.add(key, ids.tobytes() + end)
             yield from packer.flush()
 
-        yield from _batches(rows())
+        yield from common.released(_batches(rows()))
 
     return common.texts(docs).mapInArrow(run, SCHEMA)
 

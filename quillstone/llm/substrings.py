@@ -2,10 +2,11 @@
 
 A string of ``length`` bytes is judged by its start: if the same bytes also start earlier (smaller
 doc_id, or the same document at a smaller position) all of them are removed.  The work is done by
-a logarithmic family of suffix indexes (Bentley and Saxe): the suffixes of each new batch, ordered
-by the fingerprint of their first ``length`` bytes so that equal ones are neighbours, are scanned
-against the levels of the family, compared byte by byte on a match, and become a level; levels of
-equal size merge.  One family per partition takes the suffixes that belong together:
+a logarithmic family of suffix arrays (Bentley and Saxe's logarithmic method): the suffixes of each
+new batch are sorted by their first ``length`` bytes into a suffix array, which is merge-scanned
+against the arrays of the family's levels for matches of ``length`` bytes and becomes a level of
+its own; levels of about equal size merge, so there are few.  One family per partition takes the
+suffixes that belong together:
 
 1. Anchors.  Of the 32-byte strings in each ``length``-byte window the one with the least hash
    (the leftmost of equals) is the window's anchor, so equal windows have equal anchors.  Anchors
@@ -21,13 +22,15 @@ every byte if they have ``length`` bytes or more.
 
 Cases: null text is empty; texts shorter than ``length`` stay; repeated rows of one id and text
 are the same document and keep what one row would keep; rows of one id with different texts are
-one document to the order; rows with a null id are returned whole; an empty table gives an empty
-result; other columns are not read.  Positions are bytes, so spans may cut characters.
+one document to the order; rows with a null id are returned whole; a text of any length is cut
+into windows like the others, its own repeats included; an empty table gives an empty result; other
+columns are not read.  Positions are bytes, so spans may cut characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,11 @@ ANCHOR = 32
 #: Occurrences of an anchor from which its windows are dealt out one by one.
 HOT = 2000
 #: Bytes of suffixes that a batch of a family takes in, and that a partition is planned for.
-BATCH, PART = 2_000_000, 12_000_000
+BATCH, PART = 2_000_000, 8_000_000
+#: Parts that the copies of one text are spread over where they are joined.
+SALTS = 16
 #: Odd multipliers of the fingerprints; any will do, since matches are compared byte by byte.
-_M = [np.uint64(int.from_bytes(__import__("hashlib").sha256(b"%d" % i).digest()[:8], "little") | 1) for i in range(64)]
+_M = [np.uint64(int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1) for i in range(64)]
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +67,13 @@ def _words(data: np.ndarray, n: int, extra: int) -> np.ndarray:
 
 
 def _hash(words: np.ndarray, at: list[int], n: int) -> np.ndarray:
-    h = words[at[0] : at[0] + n] * _M[0]
-    for m, a in zip(_M[1:], at[1:]):
-        h += words[a : a + n] * m
+    return _hash_of(words[a : a + n] for a in at)
+
+
+def _hash_of(words: Iterable[np.ndarray]) -> np.ndarray:
+    h: np.ndarray | None = None
+    for m, w in zip(_M, words):
+        h = w * m if h is None else np.add(h, w * m, out=h)
     h ^= h >> np.uint64(29)
     h *= _M[40]
     h ^= h >> np.uint64(32)
@@ -113,92 +122,156 @@ def _groups(data: np.ndarray, offsets: np.ndarray, most: int = BATCH) -> Iterato
         a = b
 
 
-class Level:
-    """Distinct strings sorted by fingerprint: bytes, where each starts in them, and its first place."""
+def _text_words(data: np.ndarray, kind: str) -> np.ndarray:
+    """The eight bytes from every position of padded data as a view, '<u8' or, to be compared as text, '>u8'."""
+    return np.ndarray((len(data) - 7,), kind, data, strides=(1,))
 
-    def __init__(self, data: np.ndarray, fp: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray):
-        self.data, self.fp, self.at, self.doc, self.start = data, fp, at, doc, start
 
-    def merged(self, other: "Level") -> "Level":
-        fp = np.concatenate([self.fp, other.fp])
-        order = np.argsort(fp, kind="stable")
-        pick = lambda a, b: np.concatenate([a, b])[order]
-        return Level(np.concatenate([self.data, other.data]), fp[order], pick(self.at, other.at + len(self.data)), pick(self.doc, other.doc), pick(self.start, other.start))
+def suffix_array(data: np.ndarray, at: np.ndarray, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``at`` by their first bytes (``steps`` are the offsets of the
+    words compared), ties in the given order; and which are the first of equal ones.
+
+    Every pass sorts those still tied by their next eight bytes, inside their groups."""
+    words = _text_words(data, ">u8")
+    first = words[at].astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]]) if len(at) else np.zeros(0, bool)
+    for s in steps[1:]:
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        group = np.cumsum(new)[tied]
+        value = words[at[order[tied]] + s].astype(np.uint64)
+        sub = np.lexsort((value, group))
+        order[tied] = order[tied[sub]]
+        value = value[sub]
+        new[tied[1:]] |= (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+    return order, new
 
 
-def _same(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, steps: list[int]) -> np.ndarray:
-    """Whether the strings at ``x`` in ``a`` and at ``y`` in ``b`` are equal (both are padded)."""
-    if not len(x):
-        return np.zeros(0, bool)
-    wa, wb = (np.ndarray((len(d) - 7,), "<u8", d, strides=(1,)) for d in (a, b))
+class Level:
+    """A suffix array: distinct strings in the order of their bytes, where each starts in ``data``
+    (padded by eight bytes), and its first place in the corpus."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray):
+        self.data, self.at, self.doc, self.start = data, at.astype(np.int32), doc, start.astype(np.int32)
+        self.first = _text_words(data, ">u8")[self.at].astype(np.uint64)
+
+    def locate(self, data: np.ndarray, at: np.ndarray, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted suffixes ``at`` of ``data`` belong in this array, and whether they are there.
+
+        The range of equals is narrowed word by word, for all suffixes at once."""
+        mine, theirs = _text_words(self.data, ">u8"), _text_words(data, ">u8")
+        first = theirs[at].astype(np.uint64)
+        low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
+        k = np.flatnonzero(low < high)
+        for s in steps[1:]:
+            if not len(k):
+                break
+            value = theirs[at[k] + s]
+            low[k], high[k] = self._bound(mine, s, value, low[k], high[k], False), self._bound(mine, s, value, low[k], high[k], True)
+            k = k[low[k] < high[k]]
+        found = np.zeros(len(at), bool)
+        found[k] = True
+        return low, found
+
+    def _bound(self, words: np.ndarray, s: int, value: np.ndarray, low: np.ndarray, high: np.ndarray, above: bool) -> np.ndarray:
+        """Bisection in [low, high) for the first suffix whose word at ``s`` is not below ``value`` (or, ``above``, is above it)."""
+        low, high = low.copy(), high.copy()
+        open_ = np.arange(len(low))
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            seen, wanted = words[self.at[middle] + s], value[open_]
+            right = seen <= wanted if above else seen < wanted
+            low[open_[right]] = middle[right] + 1
+            high[open_[~right]] = middle[~right]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def merged(self, other: "Level", steps: list[int]) -> "Level":
+        """Both arrays as one; they have no string in common."""
+        big, small = (self, other) if len(self.at) >= len(other.at) else (other, self)
+        place = big.locate(small.data, small.at, steps)[0] + np.arange(len(small.at))
+        from_big = np.ones(len(big.at) + len(small.at), bool)
+        from_big[place] = False
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(from_big), a.dtype)
+            out[from_big], out[place] = a, b
+            return out
+
+        shift = len(big.data)
+        return Level(np.concatenate([big.data, small.data]), both(big.at, small.at + np.int32(shift)), both(big.doc, small.doc), both(big.start, small.start))
+
+
+def _same(a: np.ndarray, x: np.ndarray, y: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Whether the strings at ``x`` and at ``y`` in ``a`` are equal."""
+    words = _text_words(a, "<u8")
     same = np.ones(len(x), bool)
     for s in steps:
-        same &= wa[x + s] == wb[y + s]
+        same &= words[x + s] == words[y + s]
     return same
 
 
 class Family:
-    """Levels of distinct strings; batches must come in the order of (doc, start)."""
+    """Levels of suffix arrays; batches must come in the order of (doc, start)."""
 
     def __init__(self, length: int):
         self.length, self.steps = length, _steps(length)
         self.levels: list[Level] = []
-        self.odd: dict[bytes, tuple[int, int]] = {}  # strings whose fingerprint belongs to another
 
-    def add(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _fingerprints(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = len(data) - 8
+        if len(at) * 4 > n:
+            return _hash(_words(data[:n], n, self.length), self.steps, n)[at]
+        words = _text_words(data, "<u8")
+        return _hash_of([words[at + s] for s in self.steps])
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Takes pieces of text in, all of whose strings count; ``first`` is where in its document
-        a piece starts.  Returns for every string its piece, its offset there, its fingerprint and
-        whether it occurs earlier."""
-        n = len(data)
+        a piece starts.  Returns for every string its piece, its offset there, its fingerprint,
+        whether it occurs earlier, and whether it was new to the family."""
         data = np.concatenate([data, np.zeros(8, np.uint8)])
         windows = np.maximum(np.diff(offsets) - self.length + 1, 0)
         piece = np.repeat(np.arange(len(windows)), windows)
         inside = np.arange(len(piece)) - (np.cumsum(windows) - windows)[piece]
         if not len(piece):
-            return piece, inside, np.zeros(0, np.uint64), np.zeros(0, bool)
+            return piece, inside, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
         at = offsets[piece] + inside
         docs, starts = doc[piece], first[piece] + inside
-        fp = _hash(_words(data, n, self.length), self.steps, n)[at]
+        fp = self._fingerprints(data, at)
+        # equal strings of the batch are merged before they are sorted
         order = np.argsort(fp, kind="stable")
         new = np.concatenate([[True], fp[order][1:] != fp[order][:-1]])
-        group = np.cumsum(new) - 1
-        heads = order[new]  # the earliest of each fingerprint
-        head = np.empty(len(fp), np.int64)
-        head[order] = heads[group]
-        fine = _same(data, at, data, at[head], self.steps)
+        group = np.empty(len(fp), np.int64)
+        group[order] = np.cumsum(new) - 1
+        heads = order[new]  # the earliest of each
+        if not _same(data, at, at[heads[group]], self.steps).all():  # a fingerprint of two strings
+            order, new = suffix_array(data, at, self.steps)
+            group[order] = np.cumsum(new) - 1
+            heads = order[new]
+        sorted_, _ = suffix_array(data, at[heads], self.steps)
+        heads = heads[sorted_]
+        rank = np.empty(len(heads), np.int64)
+        rank[sorted_] = np.arange(len(heads))
+        number = rank[group]
         known_doc, known_start = docs[heads], starts[heads]
-        unknown = np.ones(len(heads), bool)
-        clash = np.zeros(len(heads), bool)
+        left = np.arange(len(heads))
         for level in self.levels:
-            where = np.minimum(np.searchsorted(level.fp, fp[heads]), len(level.fp) - 1)
-            hit = np.flatnonzero(level.fp[where] == fp[heads])
-            same = _same(data, at[heads[hit]], level.data, level.at[where[hit]], self.steps)
-            clash[hit[~same]] = True
-            known_doc[hit], known_start[hit] = level.doc[where[hit]], level.start[where[hit]]
-            unknown[hit] = False
-        number = np.empty(len(fp), np.int64)
-        number[order] = group
+            place, hit = level.locate(data, at[heads[left]], self.steps)
+            known_doc[left[hit]], known_start[left[hit]] = level.doc[place[hit]], level.start[place[hit]]
+            left = left[~hit]
         earlier = (known_doc[number] != docs) | (known_start[number] != starts)
-        for i in np.flatnonzero(~fine | clash[number]):
-            text = data[at[i] : at[i] + self.length].tobytes()
-            earlier[i] = self._find(text, int(docs[i]), int(starts[i]))
-        keep = heads[unknown]
+        keep = heads[left]
+        fresh = np.zeros(len(fp), bool)
+        fresh[keep] = True
         if len(keep):
-            self.levels.append(Level(data, fp[keep], at[keep], docs[keep], starts[keep]))
-            while len(self.levels) > 1 and len(self.levels[-2].fp) < 2 * len(self.levels[-1].fp):
+            self.levels.append(Level(data, at[keep], docs[keep], starts[keep]))
+            while len(self.levels) > 1 and len(self.levels[-2].at) < 2 * len(self.levels[-1].at):
                 last = self.levels.pop()
-                self.levels[-1] = self.levels[-1].merged(last)
-        return piece, inside, fp, earlier
-
-    def _find(self, text: bytes, doc: int, start: int) -> bool:
-        """The plain way for a string that shares its fingerprint with another one."""
-        padded = np.frombuffer(text + bytes(8), np.uint8)
-        fp = _hash(_words(padded, 1, self.length), self.steps, 1)[0]
-        for level in self.levels:
-            k = int(np.searchsorted(level.fp, fp))
-            if k < len(level.fp) and level.fp[k] == fp and level.data[level.at[k] : level.at[k] + self.length].tobytes() == text:
-                return (int(level.doc[k]), int(level.start[k])) != (doc, start)
-        return self.odd.setdefault(text, (doc, start)) != (doc, start)
+                self.levels[-1] = self.levels[-1].merged(last, self.steps)
+        return piece, inside, fp, earlier, fresh
 
 
 def _runs(piece: np.ndarray, inside: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +301,7 @@ def _find_anchors(length: int):
             for a, b in _groups(data, offsets):
                 text, at, h, _, _ = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a + text]), pa.array(at.astype(np.int32))], names=["h", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a + text]), pa.array(at.astype(np.int32))], names=["h", "k", "at"])
 
     return run
 
@@ -265,10 +338,10 @@ def _cut_pieces(length: int):
                 offs_k = np.concatenate([[0], np.cumsum(y - x)])
                 own = np.frombuffer(b"".join(raw[p:q] for p, q in zip(x.tolist(), y.tolist())), np.uint8)
                 doc, th = ids[a + text[k]], ths[a + text[k]]
-                piece, inside, fp, earlier = family.add(own, offs_k, doc, lo[k])
+                piece, inside, fp, earlier, fresh = family.add(own, offs_k, doc, lo[k])
                 p, s, e = _runs(piece, inside, earlier)
                 yield _batch(_PIECE, doc[p] * 31 + s, doc[p], th[p], lo[k][p] + s, lo[k][p] + e, [b""] * len(p))
-                j = np.flatnonzero(~earlier)
+                j = np.flatnonzero(fresh)
                 begin = (x[piece[j]] + inside[j]).tolist()
                 spot = lo[k][piece[j]] + inside[j]
                 yield _batch(_PIECE, fp[j].view(np.int64), doc[piece[j]], th[piece[j]], spot, spot, [raw[q : q + length] for q in begin])
@@ -287,7 +360,7 @@ def _search(length: int):
             done = offsets[1:] == offsets[:-1]
             yield _batch(_SPAN, doc[done], th[done], (first[done] << 32) + last[done] + length)
             for a, b in _groups(data, offsets):
-                piece, inside, _, earlier = family.add(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], first[a:b])
+                piece, inside, _, earlier, _ = family.add(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], first[a:b])
                 p, s, e = _runs(piece, inside, earlier)
                 p = p + a
                 yield _batch(_SPAN, doc[p], th[p], ((first[p] + s) << 32) + first[p] + e + length)
@@ -301,25 +374,26 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} at least")
     spark = docs.sparkSession
-    docs = common.texts(docs).where("doc_id is not null")
-    keyed = docs.withColumn("th", F.xxhash64("text"))
-    heads = keyed.select("doc_id", "th", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")).where(F.col("n") >= length)
+    keyed = common.texts(docs).where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), F.xxhash64("doc_id", "text").alias("k"))
+    heads = keyed.where(F.octet_length("text") >= length).select("doc_id", "th", "k", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     first = heads.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = common.durable(heads.join(first, "sha").where("doc_id > first").select("doc_id", "th", F.col("n").cast("long").alias("span")).distinct())
+    # the copies of one text may be a third of all rows: they meet their first one in SALTS parts
+    first = first.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = heads.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(SALTS)).cast("int")).join(first, ["sha", "salt"]).where("doc_id > first")
+    copies = common.durable(copies.select("doc_id", "th", "k", F.col("n").alias("span")).distinct())
 
-    found = docs.mapInArrow(_find_anchors(length), "h long, doc_id long, at int")
+    found = keyed.select("k", "text").mapInArrow(_find_anchors(length), "h long, k long, at int")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).cast("int").alias("hot"))
     often = common.durable(often)  # read from a table, the join's sides are plain exchanges, which Spark splits where skewed
-    marks = found.join(often.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * 2 + F.col("hot")).alias("hits"))
+    marks = found.join(often.hint("merge"), "h").groupBy("k").agg(F.collect_set(F.col("at").cast("long") * 2 + F.col("hot")).alias("hits"))
     # whole copies go here, beside the small table, so that texts are shuffled once and by one key
-    dropped = copies.groupBy("doc_id").agg(F.collect_set("th").alias("dropped"))
-    marks = common.durable(marks.join(dropped.hint("merge"), "doc_id", "left"))
+    marks = common.durable(marks.join(copies.select("k").hint("merge"), "k", "left_anti"))
     pieces = marks.select(F.sum(F.size("hits"))).first()[0] or 0
-    rows = keyed.join(marks.hint("merge"), "doc_id").where(~F.coalesce(F.array_contains("dropped", F.col("th")), F.lit(False)))
+    rows = keyed.join(marks.hint("merge"), "k")
     cut = rows.select("doc_id", "th", "text", "hits").sortWithinPartitions("doc_id").mapInArrow(_cut_pieces(length), "key long, doc_id long, th long, first long, last long, bytes binary")
     parts = max(spark.sparkContext.defaultParallelism, int(pieces * 1.5 * length) // PART)
     dealt = cut.repartition(parts, "key").sortWithinPartitions("doc_id", "first")
-    parts_found = dealt.mapInArrow(_search(length), "doc_id long, th long, span long").groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    parts_found = dealt.mapInArrow(_search(length), "doc_id long, th long, span long").groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
     return common.durable(parts_found.unionAll(copies.select("doc_id", "th", F.array("span").alias("spans"))))
 
 
@@ -349,26 +423,27 @@ def _kept(text: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """All rows and columns, and ``_r`` with what is removed and kept."""
-    found = spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.join(found.hint("merge"), (rows["doc_id"].cast("long") == found["_id"]) & (F.xxhash64("_text") == found["_th"]), "left")
-    return rows.withColumn("_r", F.arrow_udf(_kept, "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")("_text", "_spans"))
+    """``row`` (all columns) and ``r`` with what is removed and kept."""
+    found = spans(docs, length).select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "spans")
+    rows = common.whole(docs).withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    rows = rows.join(found.hint("merge"), (F.col("row.doc_id").cast("long") == F.col("id")) & (F.xxhash64("text") == F.col("of")), "left")
+    return rows.select("row", F.arrow_udf(_kept, "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")("text", "spans").alias("r"))
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, removed`` (starts and ends in turn) ``, kept`` (bytes)
     of every row."""
-    return _joined(common.texts(docs), length).select("doc_id", "_r.*")
+    return _joined(common.texts(docs), length).select("row.doc_id", "r.*")
 
 
 def cleaned(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts (bytes of cut characters go) and, where
-    there is such a column, its length in ``n_chars``."""
-    rows = _joined(docs, length).withColumn("text", F.when(F.col("_r.n_removed") > 0, F.arrow_udf(_decoded, "string")("_r.kept")).otherwise(F.col("_text")))
+    there is such a column, its length in ``n_chars``.  Rows that lose nothing stay as they are."""
+    rows = _joined(docs, length).select("row", F.when(F.col("r.n_removed") > 0, F.arrow_udf(_decoded, "string")("r.kept")).alias("left"))
+    row = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    return rows.select(F.when(F.col("left").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def _decoded(kept: pa.Array) -> pa.Array:

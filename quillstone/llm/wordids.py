@@ -1,9 +1,10 @@
-"""Word-wise tokenisation with a memo.
+"""Word-wise tokenisation of whole batches.
 
 The vocabulary's normaliser and pre-tokeniser never join characters across ASCII white space, so
 a text's ids are those of its white-space separated words in turn, and a word of Latin letters
-between punctuation marks is three runs with ids of their own.  Words and runs repeat, hence each
-is tokenised once per worker; ids are kept as little-endian uint32 bytes, ready to be joined.
+between punctuation marks is three runs with ids of their own.  A batch's words are made distinct
+by Arrow's dictionary encoding; only the distinct ones are tokenised, and the batch's ids are
+gathered from them with numpy.  The ids of words and runs are remembered, in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Texts that hold the spelling of a special token are encoded whole.
 SPECIAL = "<|"
 
-
 #: Marks, Latin-1 letters (all stable under NFC), marks.  An apostrophe before letters may begin a
 #: contraction, hence the first run has none.
 PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
@@ -26,13 +28,15 @@ PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 class WordIds:
     _shared: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, most_words: int = 250_000, most_runs: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(self.tokenizer.get_vocab_size())])
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-        self.most, self.most_runs = most_words, most_runs  # of some 200 bytes each
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+        self.most = most  # of a generation, of some 120 bytes each
 
     @classmethod
     def shared(cls, path: str) -> "WordIds":
@@ -41,40 +45,65 @@ class WordIds:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        """One call for many runs: every run ends with the only id that ends a word."""
-        for i in range(0, len(runs), 1000):
-            part = runs[i : i + 1000]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _runs(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of runs; new ones many to a call, since every run ends with the only id that ends a word."""
+        found, fresh = {"": b""}, []
+        for r in wanted:
+            ids = self.runs.get(r) or self.old_runs.get(r)
+            if ids is None:
+                fresh.append(r)
+            else:
+                found[r] = ids
+        for i in range(0, len(fresh), 1000):
+            part = fresh[i : i + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(part):
-                self.runs.update(zip(part, (ids[a:b].tobytes() for a, b in zip([0, *ends], ends))))
+                raw = ids.tobytes()
+                found.update((r, raw[4 * a : 4 * b]) for r, a, b in zip(part, [0, *ends], ends))
             else:
-                self.runs.update((r, self._encode(r)) for r in part)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                found.update((r, self._encode(r)) for r in part)
+        if len(self.runs) > self.most:
+            self.runs, self.old_runs = {}, self.runs
+        self.runs.update(found)  # what is used stays young
+        return found
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        known = list(map(self.words.get, words))
+        fresh = [i for i, ids in enumerate(known) if ids is None]
+        older = self.old_words
+        for i in fresh:
+            known[i] = older.get(words[i])
+        new = [i for i in fresh if known[i] is None]
+        parts = [PARTS(words[i].lower()) for i in new]
+        ids = self._runs({r for m in parts if m for r in m.groups() if r})
+        for i, m in zip(new, parts):
+            w = words[i]
+            known[i] = ids[m[1]] + ids[m[2]] + ids[m[3]] if m else self._encode(w) if w else b""
         if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.runs) > self.most_runs:
-            self.runs = {"": b""}
-        parts = [(w, PARTS(w.decode().lower())) for w in words]
-        self._learn_runs(list({r for _, m in parts if m for r in m.groups() if r not in self.runs}))
-        ids = self.runs
-        self.words.update((w, ids[m[1]] + ids[m[2]] + ids[m[3]] if m else self._encode(w.decode())) for w, m in parts)
+            self.words, self.old_words = {}, self.words
+            fresh = range(len(words))
+        self.words.update((words[i], known[i]) for i in fresh)  # what is used stays young
+        return known
 
-    def encode_all(self, texts: list[str], group: int = 256) -> Iterator[bytes]:
-        """The ids of every text, in order."""
-        for i in range(0, len(texts), group):
-            part = texts[i : i + group]
-            split = [None if SPECIAL in t else t.encode().lower().split() for t in part]
-            new = set().union(*(s for s in split if s))
-            if fresh := [w for w in new if w not in self.words]:
-                self._learn(fresh)
-                if lost := [w for w in new if w not in self.words]:  # the memo had been emptied
-                    self._learn(lost)
-            ids = self.words.__getitem__
-            for t, s in zip(part, split):
-                yield self._encode(t) if s is None else b"".join(map(ids, s))
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids (little-endian uint32) of every text of a string array without nulls, in order."""
+        special = pc.match_substring(texts, SPECIAL)
+        plain = pc.if_else(special, "", texts) if special.true_count else texts
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words = split.flatten().dictionary_encode()
+        known = self._words(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        first = np.cumsum(size) - size
+        code = words.indices.to_numpy()
+        n = size[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[code] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])].tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield np.frombuffer(self._encode(texts[i].as_py()), "<u4") if special[i].as_py() else ids[a:b]

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,10 +75,14 @@ def moved(levels, h, n):
 
 def test_word_ids_are_those_of_the_library():
     plain = Tokenizer.from_file(PATH)
-    words = WordIds(PATH, 50, 50)
+    words = WordIds(PATH, 50)
     texts = [t or "" for _, t in ODD] + ["İstanbul ΑΣ ŒUVRE ﬁn été a b c", "it's 'tis they'll x's'd '' 'S", "ª º µ ß ÿ", "a\x1cb\x85c ́d", "1234 5,6 %$# a$$"]
-    for t, ids in zip(texts, words.encode_all(texts, group=3)):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t[:50]
+    for size in (1, 3, len(texts)):
+        column = pa.array([None, *texts]).slice(1)
+        found = [ids for a in range(0, len(texts), size) for ids in words.encode_all(column.slice(a, size))]
+        for t, ids in zip(texts, found, strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t[:50]
+    assert list(words.encode_all(pa.array([], pa.string()))) == []
 
 
 def test_documents_and_odd_rows(spark, odd, none):
