@@ -71,8 +71,9 @@ def released(rows: Iterator) -> Iterator:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fold whose labels no model may learn from: crc32 of the id as text, mod 3, is 1."""
-    return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
+    """True for the fold whose labels no model may learn from: crc32 of the id as text, mod 3, is 1;
+    false for a null id."""
+    return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import durable
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node with a link.
 
     ``links`` has two long columns ``a, b``; order, repeats and self links do not matter; rows
@@ -25,7 +25,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     links = durable(tidy(links))
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round lessens the sum of the components' labels until nothing changes
         # large star: every neighbour above the node, and the node, link to its smallest neighbour
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -39,7 +39,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the components did not settle")
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())

@@ -1,23 +1,20 @@
-"""Links between texts whose word shingles have a Jaccard similarity of ``similarity`` or more.
+"""Links between sets of word shingles with a Jaccard similarity of ``similarity`` or more.
 
 Candidates come from min-wise hashing: ``BANDS`` keys of ``ROWS`` minima each, so that a pair at 0.8
 shares a key with probability 1 - (1 - 0.8**5)**30, all but some seven in a million.  Every candidate is
 confirmed by the exact similarity of its two sets of shingles, so chance meetings link nothing.
 
-Equal sets are merged first.  The members of a key are compared with its least member; only keys whose
-members are then still in several components have the pairs between these compared too, so a large
-group of near copies costs a comparison a member and key, not one a pair.
-
-Cases: null, empty or wordless text has no shingles and no links here; fewer words than a shingle make
-one shingle; null ids have no links.
+Equal sets are one node.  In every turn the members of a key are compared with its pivot, the least of
+those that have been none yet; keys whose other members are then in one component are done.  So a large
+group of near copies costs a comparison a member, key and turn, not one a pair.  What few keys are left
+after the turns have the pairs between their components compared, so no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +28,6 @@ _MIX = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct shingles' XXH64 hashes, sorted."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    h, join = xxhash.xxh64_intdigest, b" ".join
-    if len(w) <= words:
-        return np.array([h(join(w), 42)], np.uint64)
-    return np.unique(np.fromiter((h(join(s), 42) for s in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1))
-
-
 def keys(found: np.ndarray) -> np.ndarray:
     """The band keys of a set of shingles."""
     least = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, np.uint64)
@@ -51,55 +37,40 @@ def keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _sets(docs: DataFrame, words: int, what: str) -> DataFrame:
-    """``doc_id, node, n`` and the band keys or the shingles of texts with words; ``node`` is a hash of the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), (what, pa.list_(pa.int64()))])
-    take = keys if what == "keys" else lambda s: s.view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch):
-                rows = [(i, s) for i, t in zip(*(c.to_pylist() for c in part.columns)) if len(s := shingles(t.encode(), words))]
-                hashes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for _, s in rows], np.uint64).view(np.int64)
-                columns = [[i for i, _ in rows], hashes, [len(s) for _, s in rows], [take(s) for _, s in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return common.texts(docs).where("doc_id is not null").mapInArrow(run, f"doc_id long, node long, n int, {what} array<long>")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose sets are alike enough; only their texts are read again."""
-    pairs = common.durable(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = rows.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    found = _sets(docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_semi"), words, "shingles")
-    found = common.durable(found.groupBy("node").agg(F.first("shingles").alias("s")))
-    a, b = found.select(F.col("node").alias("a"), F.col("s").alias("x")), found.select(F.col("node").alias("b"), F.col("s").alias("y"))
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose sets (``node, s``) are alike enough."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
-def links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links ``a, b`` between ids, enough to give the components."""
-    sketches = common.durable(_sets(docs, words, "keys"))
-    rows = sketches.select("doc_id", "node")
-    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8, rounds: int = 8) -> DataFrame:
+    """Links ``a, b`` between nodes, enough to give the components.
+
+    ``nodes``: ``node, n, keys`` of each distinct set; ``sets_of`` gives ``node, s`` for a table of wanted nodes."""
     met = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("least")).where("members > 1")
-    met = common.durable(met.join(shared, "key").select("key", "node", "n", "least"))
+    shared = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = common.durable(met.join(shared.select("key"), "key"))
+    sets = common.durable(sets_of(met.select("node").distinct()))
     near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    stars = met.where((F.col("node") != F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    first = common.durable(_confirmed(stars, docs, rows, words, similarity))
-
-    known = components(first)
-    met = met.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("least.node")).alias("is_least"))
-    split = met.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    met = common.durable(met.where("not is_least").join(split, "key").drop("is_least"))
-    other = met.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = met.join(other, "key").where((F.col("component") < F.col("other")) & near(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    second = _confirmed(across, docs, rows, words, similarity)
-
-    ids = nodes.select("node", "id")
-    found = first.unionAll(second)
-    found = found.join(ids.select(F.col("node").alias("a"), F.col("id").alias("i")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("j")), "b")
-    return found.select(F.col("i").alias("a"), F.col("j").alias("b")).unionAll(rows.join(ids, "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    edge = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    found, known = None, None
+    left = met.withColumn("component", F.col("node"))
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            pivot = left.groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("p"))
+            pairs = left.join(pivot, "key").where((F.col("component") != F.col("p.component")) & near(F.col("n"), F.col("p.n"))).select(*edge(F.col("node"), F.col("p.node")))
+        else:  # what no pivot has settled
+            other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("component").alias("component2"))
+            pairs = left.join(other, "key").where((F.col("component") < F.col("component2")) & near(F.col("n"), F.col("m"))).select(*edge(F.col("node"), F.col("node2")))
+        new = common.durable(confirmed(pairs.distinct(), sets, similarity))
+        found = new if found is None else found.unionAll(new)
+        if turn == rounds:
+            break
+        known = components(found)
+        left = left.join(pivot, "key").where("node <> p.node").select("key", "node", "n").join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        split = left.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+        left = common.durable(left.join(split, "key"))
+        if left.isEmpty():
+            break
+    return found

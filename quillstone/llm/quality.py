@@ -8,7 +8,8 @@ compiled into one Spark expression, so scoring runs on the JVM in a single pass
 The sample holds at most ``train_rows`` labelled rows outside the held-out fold (those with the
 least hash of the id); only their statistics reach the driver.
 
-Cases: null, empty and wordless text has all statistics zero; repeated rows score alike; without
+Cases: null, empty and wordless text has all statistics zero; a text of any length counts whole;
+repeated rows score alike; a null id is not held out, and no label is learnt by it; without
 labels of both kinds every score is the share of good labels (0.5 without labels); an empty table
 gives an empty result; other columns are not read.
 """
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import common
 
-#: The names begin with a mark of their own, so that columns of the input don't clash.
 STATISTICS = tuple("_q_" + s for s in ("words", "distinct", "again", "word_length", "upper", "symbols", "bars", "shouts", "digits", "lines"))
 
 
@@ -162,4 +162,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_r
 
 def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 6000) -> DataFrame:
     """The rows of ``docs`` at or above the threshold, with all their columns."""
-    return statistics(docs).where(learn(docs, labels, train_rows).column() >= threshold).drop(*STATISTICS)
+    return statistics(common.whole(docs), "row.text").where(learn(docs, labels, train_rows).column() >= threshold).select("row.*")

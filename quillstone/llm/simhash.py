@@ -10,7 +10,8 @@ of its links (at most one per fingerprint), never all pairs.
 
 Cases: null or empty text, or text of white space only, has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle; repeated ids are rows of their own with the
-smallest id of their component; an empty table gives an empty result; other columns are not read.
+smallest id of their component; rows with a null id link and bridge like any others; a text of any
+length counts whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +34,21 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 BLOCK = 8192
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The bits set in more than half of the shingles' XXH64 hashes (seed 42)."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included."""
     w = text.lower().split()
-    if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
     h, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((h(join(s), 42) for s in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1)
+    if len(w) <= words:
+        return np.array([h(join(w), 42)] if w else [], np.uint64)
+    return np.fromiter((h(join(s), 42) for s in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The bits set in more than half of the shingles' hashes."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     set_in = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -211,13 +218,24 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     return units.repartition(parts, "unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
 
 
+def _named(rows: DataFrame, names: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """``rows`` joined to ``names`` (a row for each ``key``, and ``n``, how many rows have it).  Keys that
+    more than a ``most``-th of all rows have, fewer than ``most`` keys, are broadcast; so none gathers in a task."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(1000, total // most)
+    hot, cold = names.where(often).drop("n"), names.where(~often).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
+    """``doc_id, fp, component_id`` of every document: the component's smallest id, null where it has none."""
     fps = common.durable(fingerprints(docs, words))
-    nodes = common.durable(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    groups = components(links(nodes.where("node is not null"), radius)).withColumnRenamed("component", "component_id")
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = common.durable(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    groups = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    nodes = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = common.durable(nodes.join(least, "component").select("fp", "component_id", "n"))
+    return _named(fps, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def result(found: DataFrame) -> DataFrame:
@@ -225,11 +243,77 @@ def result(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """For rows ``doc_id, k, text``: the fingerprint, the hash of the set of shingles, its size and its
+    min-wise keys (none for texts without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 2):
+                hashed = [shingle_hashes(t.encode(), words) for t in part.column(2).to_pylist()]
+                fps = np.array([majority(h) for h in hashed], np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in hashed]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+                keys = [nearcopies.keys(s) if len(s) else s.view(np.int64) for s in sets]
+                columns = [part.column(0), part.column(1), fps, nodes, [len(s) for s in sets], keys]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKETCH)], schema=_SKETCH)
+
+    return rows.mapInArrow(lambda b: common.released(run(b)), "doc_id long, k long, fp long, node long, n int, keys array<long>")
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """``node, s`` for rows ``node, text``."""
+    schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                sets = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, schema.field(1).type)], schema=schema)
+
+    return rows.mapInArrow(lambda b: common.released(run(b)), "node long, s array<long>")
+
+
 def without_copies(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but for documents linked to one with a smaller
-    id: by fingerprints within the radius, or by the exact Jaccard similarity of their shingles.
-    Rows with a null id stay."""
-    close = near_duplicates(docs, words, radius).where("component_id < doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    groups = components(close.unionAll(nearcopies.links(docs, words, similarity)))
-    lost = groups.where("component < node").select(F.col("node").alias("_lost"))
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    """One row of each group of near copies, with all its columns.
+
+    Texts are linked by fingerprints within the radius, or by the exact Jaccard similarity of their
+    shingles.  Of a group the row with the smallest id stays (null ids come last; of equal ids the
+    text with the smaller hash); of rows with the same id and text one stays, whichever its other columns."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = common.whole(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
+    sketches = common.durable(_sketches(rows.select("doc_id", "k", "text"), words))
+    slim = sketches.select("doc_id", "k", "fp", "node")
+
+    prints = common.durable(slim.groupBy("fp").agg(F.min("k").alias("node")))
+    close = links(prints, radius)
+    sets = sketches.where("n > 0").groupBy("node").agg(F.min("k").alias("of"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sets = common.durable(sets)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        picked = sets.select("node", "of").join(wanted, "node")
+        # rows of one id and text have one k and one set, of which the first is as good as any
+        read = rows.select("k", "text").join(picked.withColumnRenamed("of", "k"), "k").select("node", "text")
+        return _sets(read, words).groupBy("node").agg(F.first("s").alias("s"))
+
+    alike = nearcopies.links(sets.select("node", "n", "keys"), sets_of, similarity)
+    of = sets.select("node", "of")
+    alike = alike.join(of.select(F.col("node").alias("a"), F.col("of").alias("i")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("j")), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    same = slim.join(prints.select("fp", F.col("node").alias("b")), "fp").where("k <> b").select(F.col("k").alias("a"), "b")
+    same_set = slim.join(of, "node").where("k <> of").select(F.col("k").alias("a"), F.col("of").alias("b"))
+    groups = components(close.unionAll(alike).unionAll(same).unionAll(same_set))
+
+    ids = slim.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    members = ids.select("k", "doc_id").join(groups.withColumnRenamed("node", "k"), "k")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))["k"].alias("first"))
+    lost = groups.join(first, "component").where("node <> first").select(F.col("node").alias("k"))
+    lost, repeated = common.durable(lost), common.durable(ids.where("rows > 1").select("k"))
+    kept = rows.drop("text", "doc_id").join(lost, "k", "left_anti")
+    if not repeated.isEmpty():
+        one = kept.join(repeated, "k", "left_semi").groupBy("k").agg(F.first("row").alias("row"))
+        kept = kept.join(repeated, "k", "left_anti").select("k", "row").unionByName(one)
+    return kept.select("row.*")

@@ -2,8 +2,9 @@ import itertools
 
 import numpy as np
 
-from quillstone.llm import nearcopies, simhash
+from quillstone.llm import simhash
 from tests.llm.conftest import ODD
+from tests.llm.test_simhash import brute_fp
 
 
 def shingled(text):
@@ -42,7 +43,44 @@ def test_chance_meetings_link_nothing(spark):
     exact = {(i, j): len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b)) for (i, a), (j, b) in itertools.combinations(rows, 2)}
     assert exact[1, 2] < 0.8 and exact[1, 3] > 0.8 and exact[2, 3] < 0.8
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(sorted((r.a, r.b))) for r in nearcopies.links(frame).collect()} == {(1, 3)}
+    assert sorted(r.doc_id for r in simhash.without_copies(frame).collect()) == [1, 2]
+
+
+def test_large_groups_of_near_copies_and_recall(spark):
+    """Every text differs from the base in its own places: pairs are near 0.8, many below; links chain them."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for at in rng.choice(290, rng.integers(1, 8), replace=False):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingled(t) for i, t in rows}
+    up = list(range(250))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    linked, fps = 0, [brute_fp(t, 5) for _, t in rows]
+    for i, j in itertools.combinations(range(250), 2):
+        alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        linked += alike
+        if alike or (fps[i] ^ fps[j]).bit_count() <= 3:
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    assert linked > 1000
+    kept = sorted(r.doc_id for r in simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == sorted({root(i) for i in range(250)})
+
+
+def test_one_row_of_repeated_rows_and_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "z"), (6, b, "u"), (None, a, "v"), (None, "only here", "w"), (7, None, "n"), (8, " ", "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text) for r in simhash.without_copies(frame).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (0, "only here"), (7, None)], key=str)
 
 
 def test_odd_rows(odd, none):
