@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,39 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2_000_000) -> Ite
         a = b
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def released(rows: Iterator) -> Iterator:
-    """The rows of a task; what its buffers took goes back to the system at its end, since the
-    worker process lives on for other tasks."""
+    """The rows of a task; what it took goes back to the system at its end, since the worker
+    process lives on for other tasks."""
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
+        trimmed()
+
+
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20))
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of texts hold 8 MiB unless the session has a limit of its own: rows differ in
+    size by far too much for Spark's usual 10,000 of them."""
+    key, usual, ours = _BATCH
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, ours)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, with ``released`` memory."""
+    modest(df.sparkSession)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -431,7 +431,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
         yield from _blocks(_MEDIA, rows())
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.mapped(common.texts(docs), run, "doc_id long, n_bytes long, media binary")
 
 
 def tensors(media: DataFrame) -> DataFrame:
@@ -448,7 +448,7 @@ def tensors(media: DataFrame) -> DataFrame:
 
         yield from _blocks(_TENSOR, rows())
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, feature string")
+    return common.mapped(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, feature string")
 
 
 def digest(found: DataFrame) -> DataFrame:

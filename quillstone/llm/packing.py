@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.shared(tokenizer_path)
+        words = WordIds(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 40, open_ids)
 
         def rows() -> Iterator[tuple]:
@@ -156,9 +156,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                         yield from packer.add(key, ids.tobytes() + end)
             yield from packer.flush()
 
-        yield from common.released(_batches(rows()))
+        yield from _batches(rows())
 
-    return common.texts(docs).mapInArrow(run, SCHEMA)
+    return common.mapped(common.texts(docs), run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

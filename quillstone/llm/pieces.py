@@ -258,7 +258,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 1, sharpness: float = 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sampler.encode_all(texts[a:b], keys[a:b]), pa.binary())], schema=schema)
                 a = b
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return common.mapped(common.texts(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -273,7 +273,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 texts = [vocabulary.decode(i).decode() for i in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return common.mapped(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

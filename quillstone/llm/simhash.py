@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t.encode(), words) for part in common.slices(batch) for t in part.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_FP)
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return common.mapped(common.texts(docs), run, "doc_id long, fp long")
 
 
 def lane_counts(fps: np.ndarray, lanes: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
         if held:
             yield from close()
 
-    return units.repartition(parts, "unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
+    return common.mapped(units.repartition(parts, "unit").sortWithinPartitions("unit", "side"), run, "a long, b long")
 
 
 def _named(rows: DataFrame, names: DataFrame, key: str, most: int = 10_000) -> DataFrame:
@@ -261,7 +261,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                 columns = [part.column(0), part.column(1), fps, nodes, [len(s) for s in sets], keys]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKETCH)], schema=_SKETCH)
 
-    return rows.mapInArrow(lambda b: common.released(run(b)), "doc_id long, k long, fp long, node long, n int, keys array<long>")
+    return common.mapped(rows, run, "doc_id long, k long, fp long, node long, n int, keys array<long>")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, schema.field(1).type)], schema=schema)
 
-    return rows.mapInArrow(lambda b: common.released(run(b)), "node long, s array<long>")
+    return common.mapped(rows, run, "node long, s array<long>")
 
 
 def without_copies(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:

@@ -382,7 +382,7 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = heads.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(SALTS)).cast("int")).join(first, ["sha", "salt"]).where("doc_id > first")
     copies = common.durable(copies.select("doc_id", "th", "k", F.col("n").alias("span")).distinct())
 
-    found = keyed.select("k", "text").mapInArrow(_find_anchors(length), "h long, k long, at int")
+    found = common.mapped(keyed.select("k", "text"), _find_anchors(length), "h long, k long, at int")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).cast("int").alias("hot"))
     often = common.durable(often)  # read from a table, the join's sides are plain exchanges, which Spark splits where skewed
     marks = found.join(often.hint("merge"), "h").groupBy("k").agg(F.collect_set(F.col("at").cast("long") * 2 + F.col("hot")).alias("hits"))
@@ -390,10 +390,10 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     marks = common.durable(marks.join(copies.select("k").hint("merge"), "k", "left_anti"))
     pieces = marks.select(F.sum(F.size("hits"))).first()[0] or 0
     rows = keyed.join(marks.hint("merge"), "k")
-    cut = rows.select("doc_id", "th", "text", "hits").sortWithinPartitions("doc_id").mapInArrow(_cut_pieces(length), "key long, doc_id long, th long, first long, last long, bytes binary")
+    cut = common.mapped(rows.select("doc_id", "th", "text", "hits").sortWithinPartitions("doc_id"), _cut_pieces(length), "key long, doc_id long, th long, first long, last long, bytes binary")
     parts = max(spark.sparkContext.defaultParallelism, int(pieces * 1.5 * length) // PART)
     dealt = cut.repartition(parts, "key").sortWithinPartitions("doc_id", "first")
-    parts_found = dealt.mapInArrow(_search(length), "doc_id long, th long, span long").groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    parts_found = common.mapped(dealt, _search(length), "doc_id long, th long, span long").groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
     return common.durable(parts_found.unionAll(copies.select("doc_id", "th", F.array("span").alias("spans"))))
 
 

@@ -26,8 +26,6 @@ PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordIds:
-    _shared: dict[str, "WordIds"] = {}
-
     def __init__(self, path: str, most: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
@@ -38,13 +36,6 @@ class WordIds:
         self.old_runs: dict[str, bytes] = {}
         self.most = most  # of a generation, of some 120 bytes each
 
-    @classmethod
-    def shared(cls, path: str) -> "WordIds":
-        """One per worker process, so that tasks after the first start with a filled memo."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
-
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
