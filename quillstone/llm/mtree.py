@@ -9,11 +9,15 @@ distances spares most entries and pages their own computation, and the search of
 the next page can't hold an entry as good as the last of the best so far.  Bounds are compared with
 a margin above rounding; scores themselves are exact integers, ties going to the smaller id.
 
-Queries come in blocks too, and each pair of blocks is a unit of work of bounded size.
-
-Cases: vectors null or with null or non-finite components take no part; shorter vectors count as
-padded with zeros; rows of one id count as one, with the least vector; products beyond 64 bits are
-held at its ends; an empty table gives an empty result; other columns are not read.
+Rows are dealt into blocks by a number of their own, so an id with a third of all rows is spread.
+Queries come in groups, and each pair of a group and a block is a unit of work of bounded size.  A
+query is first searched in one block, its home; in the others it starts from the radius that its
+best there leave, so that most of their pages, or all, are never opened.
+
+Cases: vectors null or with null or non-finite components take no part; shorter vectors, empty ones
+too, count as padded with zeros; rows of one id are all candidates, and all queries where that id is
+one (a query's own row alone is left out); products beyond 64 bits are held at its ends; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm import common
+
 LEAF, FAN = 128, 16
-#: Rows of a block, and queries of a block.
-ROWS, QUERIES = 8192, 1024
+#: Rows of a block at most, and from which a table is dealt to more cores; queries of a group.
+ROWS, FEW, QUERIES = 32768, 4096, 4096
 _LIMIT = 1 << 63
 
 
@@ -48,9 +54,9 @@ class Page:
 
 
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        """``vectors``: integers, a row for each id; ids are distinct."""
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
+        """``vectors``: integers, one for each id; ``rows`` tells rows of one id apart (default: the ids)."""
+        self.ids, self.vectors, self.rows = ids, vectors, ids if rows is None else rows
         real = vectors.astype(np.float64)
         square = (real * real).sum(1)
         self.square = float(square.max(initial=0.0))
@@ -87,13 +93,19 @@ class MTree:
         whole = [sum(int(a) * int(b) for a, b in zip(q, v)) for v in self.vectors[rows]]
         return np.array([max(-_LIMIT, min(_LIMIT - 1, s)) for s in whole], np.int64)
 
-    def best(self, q: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
-        """The k best (-score, id), and how many scores were computed."""
+    def best(self, q: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
+        """The k best (-score, id) but for the row ``own``, and how many scores were computed.  With a
+        ``floor`` only scores from it on matter."""
         point = np.append(q.astype(np.float64), 0.0)
         square = float(point @ point)
         margin = 1e-6 * (1 + square**0.5 + self.square**0.5)
         best: list[tuple[int, int]] = []
-        reach, computed, serial = np.inf, 0, 0  # reach: how far an entry may be to matter
+        computed, serial = 0, 0
+
+        def far(score: int) -> float:
+            return max(0.0, square + self.square - 2 * float(score)) ** 0.5 + margin
+
+        reach = np.inf if floor is None else far(floor)  # how far an entry may be to matter
         d = float(np.sqrt(((point - self.route) ** 2).sum()))
         queue = [(max(0.0, d - self.root.radius), serial, d, self.root)]
         while queue:
@@ -112,51 +124,53 @@ class MTree:
                 continue
             scores, ids = self._scores(q, rows), self.ids[rows]
             computed += len(rows)
-            keep = ids != own
-            if len(best) == k:
-                keep &= scores >= -best[-1][0]
-            best = sorted([*best, *zip((-scores[keep]).tolist(), ids[keep].tolist())])[:k]
+            keep = self.rows[rows] != own
+            least = -best[-1][0] if len(best) == k else floor
+            if least is not None:
+                keep &= scores >= least
+            best = sorted([*best, *((-s, i) for s, i in zip(scores[keep].tolist(), ids[keep].tolist()))])[:k]
             if len(best) == k:
-                reach = max(0.0, square + self.square + 2 * float(best[-1][0])) ** 0.5 + margin
+                reach = min(reach, far(-best[-1][0]))
         return best, computed
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
+def _matrix(column: pd.Series) -> np.ndarray:
+    out = np.zeros((len(column), max(1, *map(len, column))), np.int64)
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    width = max(map(len, pdf["v"]))
-    vectors, ids = _matrix(pdf["v"], width), pdf["vec_id"].to_numpy(np.int64)
-    order = np.lexsort([*vectors.T[::-1], ids])
-    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-    ids, vectors = ids[order], vectors[order]
-    if np.abs(vectors).max(initial=0) < 1 << 15:
+    pdf = pdf.sort_values("row")
+    vectors = _matrix(pdf["v"])
+    if -(1 << 15) < vectors.min(initial=0) and vectors.max(initial=0) < 1 << 15:
         vectors = vectors.astype(np.int16)
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "tree": [pickle.dumps(MTree(ids, vectors))]})
+    tree = MTree(pdf["vec_id"].to_numpy(np.int64), vectors, pdf["row"].to_numpy(np.int64))
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    vectors, ids = _matrix(pdf["v"], max(map(len, pdf["v"]))), pdf["vec_id"].to_numpy(np.int64)
-    order = np.lexsort([*vectors.T[::-1], ids])
-    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-    return pd.DataFrame({"group": [int(pdf["group"].iloc[0])], "queries": [pickle.dumps((ids[order], vectors[order]))]})
+    floor = [int(f) if known else None for f, known in zip(pdf["floor"], pdf["bounded"])]
+    asked = (pdf["row"].to_numpy(np.int64), pdf["vec_id"].to_numpy(np.int64), pdf["home"].to_numpy(np.int64), floor, _matrix(pdf["v"]))
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "queries": [pickle.dumps(asked)]})
+
 
+def _search(k: int, at_home: bool):
+    """Searches in the home blocks of queries, or in all but them."""
 
-def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for tree, queries in zip(pdf["tree"], pdf["queries"]):
-                tree, (ids, vectors) = pickle.loads(tree), pickle.loads(queries)
+            for block, tree, queries in zip(pdf["block"], pdf["tree"], pdf["queries"]):
+                tree, asked = pickle.loads(tree), pickle.loads(queries)
                 width = tree.vectors.shape[1]
                 rows = []
-                for own, q in zip(ids.tolist(), vectors):
+                for row, own, home, floor, q in zip(*(a if isinstance(a, list) else a.tolist() for a in asked[:4]), asked[4]):
+                    if (home == block) != at_home:
+                        continue
                     q = q[:width] if len(q) >= width else np.pad(q, (0, width - len(q)))
-                    rows += [(own, i, -s) for s, i in tree.best(q, own, k)[0]]
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                    rows += [(row, own, i, -s) for s, i in tree.best(q, row, k, floor)[0]]
+                yield pd.DataFrame(rows, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
@@ -165,19 +179,33 @@ def integers(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """``vec_id, v``: the usable vectors with components floor(256 x)."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
     usable = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & usable).select("vec_id", F.transform("e", lambda x: F.floor(x * 256)).alias("v"))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, rank, vec_id, score``; both inputs have ``vec_id, v``, and a query's own id is no
-    candidate for it."""
-    n, m = vectors.count(), queries.count()
-    blocks, groups = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
-    trees = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_build, "block int, tree binary")
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).groupBy("group").applyInPandas(_gather, "group int, queries binary")
-    units = trees.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(
-        asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block", "group"]
-    )
-    found = units.select("tree", "queries").mapInPandas(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & usable).select("vec_id", F.transform("e", lambda x: F.floor(x * 256)).alias("v"))
+
+
+_FOUND = "row long, query_id long, vec_id long, score long"
+
+
+def top_k(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for the rows of ``vectors`` (``vec_id, v``) that ``asks`` holds for."""
+    # written once, so that a row's number is the same wherever it is read
+    vectors = common.durable(vectors.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()))
+    n, m = vectors.agg(F.count("*"), F.count_if(asks)).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(1, -(-n // ROWS), min(cores, -(-n // FEW))), max(1, -(-m // QUERIES))
+    deal = lambda salt, count: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(count)).cast("int")
+    trees = common.durable(vectors.withColumn("block", deal(0, blocks)).groupBy("block").applyInPandas(_build, "block int, tree binary"))
+    queries = vectors.where(asks).select("row", "vec_id", "v", deal(1, blocks).alias("home"))
+
+    # at home a unit is a block with its own queries, in parts of bounded size
+    asked = queries.withColumns({"part": F.col("home") * parts + deal(2, parts), "floor": F.lit(0).cast("long"), "bounded": F.lit(False)}).groupBy("part").applyInPandas(_gather, "part int, queries binary")
+    units = asked.withColumn("block", F.floor(F.col("part") / parts).cast("int")).join(trees, "block").repartition(blocks * parts, "part")
+    first = common.durable(units.select("block", "tree", "queries").mapInPandas(_search(k, True), _FOUND))
+
+    # elsewhere a query needs only what reaches its k-th best from home
+    kept = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    rest = queries.join(kept, "row", "left").withColumns({"bounded": F.col("floor").isNotNull(), "floor": F.coalesce("floor", F.lit(0).cast("long"))})
+    rest = rest.withColumn("part", deal(3, parts)).groupBy("part").applyInPandas(_gather, "part int, queries binary")
+    units = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(trees, "block").repartition(blocks * parts, "part", "block")
+    found = first.unionAll(units.select("block", "tree", "queries").mapInPandas(_search(k, False), _FOUND))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

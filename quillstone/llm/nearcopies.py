@@ -44,7 +44,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8, rounds: int = 8) -> DataFrame:
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8, rounds: int = 3) -> DataFrame:
     """Links ``a, b`` between nodes, enough to give the components.
 
     ``nodes``: ``node, n, keys`` of each distinct set; ``sets_of`` gives ``node, s`` for a table of wanted nodes."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm import jpeg, maskedlm, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
 from quillstone.llm.common import table
@@ -35,8 +36,7 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = mtree.integers(table(spark, sf_dir, "embeddings"))
-    return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return mtree.top_k(mtree.integers(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
