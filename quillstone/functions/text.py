@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +19,6 @@ CONTROL_PREFIXES = (
     "<environment_context>",
     "<instructions>",
     "<turn_aborted>",
-    "you are the introspect trigger reflector.",
 )
 CORPUS_CONTROL_PREFIXES = (
     "<environment_context>",
@@ -36,7 +35,6 @@ PASTE_PREFIXES = (
     "<instructions>",
     "<codex_internal_context",
     "<turn_aborted>",
-    "you are the introspect trigger reflector.",
 )
 CONTROL_PHRASES = ("continue", "go on", "keep going", "ok", "okay", "yes", "sure", "do it", "sounds good", "whatever")
 
@@ -87,10 +85,10 @@ def first_of(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def is_control(text: Column) -> Column:
-    """The text, left-trimmed and lower-cased, starts as a control message."""
+def is_control(text: Column, more: Iterable[str] = ()) -> Column:
+    """The text, left-trimmed and lower-cased, starts as a control message; ``more`` are a host's own (lower-case) beginnings."""
     t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
-    return _any(F.startswith(t, F.lit(p)) for p in CONTROL_PREFIXES)
+    return _any(F.startswith(t, F.lit(p)) for p in (*CONTROL_PREFIXES, *more))
 
 
 def is_corpus_control(text: Column) -> Column:
@@ -104,11 +102,11 @@ def is_control_phrase(text: Column) -> Column:
     return F.lower(compact(text)).isin(*CONTROL_PHRASES)
 
 
-def is_pasted(text: Column) -> Column:
-    """Starts as a paste, or is long with many lines, or holds two fences."""
+def is_pasted(text: Column, more: Iterable[str] = ()) -> Column:
+    """Starts as a paste (or as one of a host's own beginnings), or is long with many lines, or holds two fences."""
     t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
     fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3
-    return _any(F.startswith(t, F.lit(p)) for p in PASTE_PREFIXES) | ((F.length(text) > 1000) & (line_count(text) > 18)) | ((F.length(text) > 500) & (fences >= 2))
+    return _any(F.startswith(t, F.lit(p)) for p in (*PASTE_PREFIXES, *more)) | ((F.length(text) > 1000) & (line_count(text) > 18)) | ((F.length(text) > 500) & (fences >= 2))
 
 
 def line_count(text: Column) -> Column:
@@ -129,12 +127,21 @@ def matched_words(text: Column, terms: list[str]) -> Column:
     return F.array_sort(F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0), F.array(*map(F.lit, terms))))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often (and inside whatever lambda) ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of low..high tokens, joined by blanks, repeats included."""
-    def runs(n: int) -> Column:
-        return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array())
+    def runs(t: Column, n: int) -> Column:
+        if n == 1:
+            return t
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[runs(n) for n in range(low, high + 1)])
+    if low == high == 1:
+        return tokens
+    return bound(tokens, lambda t: F.concat(*[runs(t, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
@@ -162,11 +169,20 @@ def repetition_tokens(text: Column, stopwords: list[str]) -> Column:
 
 def repetition_features(tokens: Column) -> Column:
     """Distinct words ``w:``, pairs ``b:`` and 4-character strings ``c:`` of joined tokens."""
-    joined = F.array_join(tokens, " ")
-    words = F.transform(tokens, lambda t: F.concat(F.lit("w:"), t))
-    pairs = F.transform(ngrams(tokens, 2, 2), lambda t: F.concat(F.lit("b:"), t))
-    chars = F.when(F.length(joined) >= 4, F.transform(F.sequence(F.lit(1), F.length(joined) - 3), lambda i: F.concat(F.lit("c:"), F.substring(joined, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs, chars))
+    def chars(joined: Column) -> Column:
+        return F.when(F.length(joined) >= 4, F.transform(F.sequence(F.lit(1), F.length(joined) - 3), lambda i: F.concat(F.lit("c:"), F.substring(joined, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+
+    def all_of(ts: Column) -> Column:
+        words = F.transform(ts, lambda t: F.concat(F.lit("w:"), t))
+        pairs = F.transform(ngrams(ts, 2, 2), lambda t: F.concat(F.lit("b:"), t))
+        return F.array_distinct(F.concat(words, pairs, bound(F.array_join(ts, " "), chars)))
+
+    return bound(tokens, all_of)
+
+
+def hashed_features(features: Column) -> Column:
+    """The first 16 hex digits of each feature's SHA-256: what may be kept where words may not."""
+    return F.transform(features, lambda f: F.substring(F.sha2(f, 256), 1, 16))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -201,9 +217,11 @@ def salted_digest(text: Column, salt: str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.sha2(F.concat(F.lit(salt), F.lit("\0"), text), 256))
 
 
-def redacted(text: Column, home: str = "", most: int = 300) -> Column:
-    """The first characters with the home folder, user names and secrets masked."""
-    out = F.substring(F.coalesce(text, F.lit("")), 1, most)
+def redacted(text: Column, home: str = "", most: int | None = 300) -> Column:
+    """The first characters (None: all) with the home folder, user names and secrets masked."""
+    out = F.coalesce(text, F.lit(""))
+    if most is not None:
+        out = F.substring(out, 1, most)
     if home:
         out = F.replace(out, F.lit(home), F.lit("~"))
     out = F.regexp_replace(out, r"/Users/[^/\s]+", "/Users/[user]")

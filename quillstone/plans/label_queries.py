@@ -288,13 +288,6 @@ def candidate_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", scoring.best_label(F.col("c"), ["x", "z"]).alias("best_wanted"), scoring.argmax_label(F.col("c")).alias("top_label"))
 
 
-_WORDS = """tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM documents WHERE doc_id % 10 < 5), tfs AS (SELECT id, term, count(*) AS n FROM tok GROUP BY 1, 2)"""
-
-
-def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).where("id % 10 < 5")
-
-
 @query("""WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM documents) SELECT id, 'word' AS section, term, count(*) AS count FROM tok GROUP BY id, term""")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.terms(corpus(spark, sf_dir), "id", scoring.word_section())
@@ -349,23 +342,6 @@ def jaccard_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(F.col("w"), F.col("p")), 9).alias("similarity"))
 
 
-@query("""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'why did you not read the docs' WHEN 1 THEN 'please continue and test it' WHEN 2 THEN 'why is the button so' WHEN 3 THEN 'you stop doing this the' ELSE 'plain words' END AS t FROM documents),
-  c AS (SELECT doc_id, t, list_filter(['question_confusion', 'ignored_constraints', 'missing_context_or_docs', 'verification_failure', 'scope_or_resume_pressure', 'external_or_product_feedback'], lambda k: CASE k
-    WHEN 'question_confusion' THEN regexp_matches(t, '\\bwhat''?s\\b|\\bwhy\\b|\\bhow\\b|\\bare you sure\\b|\\bconfused\\b|\\bdid you\\b')
-    WHEN 'ignored_constraints' THEN regexp_matches(t, '\\bwhy didn''?t you\\b|\\bdidn''?t\\b.*\\b(test|read|check|search|use|keep|follow)\\b|\\bi told you\\b|\\bwho said\\b|\\bstop\\b.*\\bdoing\\b')
-    WHEN 'missing_context_or_docs' THEN regexp_matches(t, '\\bread\\b|\\bchat history\\b|\\bfull chat\\b|\\bcontext\\b|\\bdocs?\\b|\\btranscript\\b')
-    WHEN 'verification_failure' THEN regexp_matches(t, '\\btest\\b|\\bverify\\b|\\bproof\\b|\\brepro\\b|\\bscreenshot\\b')
-    WHEN 'scope_or_resume_pressure' THEN regexp_matches(t, '\\bkeep going\\b|\\bcontinue\\b|\\bfinish\\b|\\bdone\\b')
-    ELSE regexp_matches(t, '\\bui\\b|\\bux\\b|\\blooks\\b|\\bbutton\\b|\\bpadding\\b|\\berror\\b|\\bcrash\\b') END) AS categories FROM t)
-  SELECT doc_id, categories, CASE WHEN list_has_any(categories, ['ignored_constraints', 'missing_context_or_docs', 'verification_failure', 'scope_or_resume_pressure']) THEN 'agent_failure_candidate'
-    WHEN contains(t, 'the') AND list_contains(categories, 'question_confusion') THEN 'needs_review' WHEN contains(t, 'the') THEN 'trigger_only' ELSE 'ordinary' END AS weak_label FROM c""")
-def weak_categories_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["why did you not read the docs", "please continue and test it", "why is the button so", "you stop doing this the", "plain words"]
-    t = F.element_at(F.array(*map(F.lit, lines)), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t", text.weak_categories(F.col("t")).alias("categories"))
-    return rows.select("doc_id", "categories", text.weak_label(F.col("categories"), text.matched_words(F.col("t"), ["the"])).alias("weak_label"))
-
-
 def _weak_sql() -> str:
     """Categories and label of every document's whole text, with the whole bank of patterns.
     DuckDB's word boundaries are those of ASCII, hence other letters become an underscore."""

@@ -34,23 +34,23 @@ def transcript_message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(jsonl.get("$.message.role") == "user").select("conv_id", "turn", jsonl.content("$.message.content").alias("text"))
 
 
-@query("SELECT item_id, strip_accents(text) AS plain FROM benchmark")
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def accents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", text.strip_accents(F.col("text")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
-@query("""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM benchmark),
-  g AS (SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT item_id, gram, count(*) AS n FROM g GROUP BY item_id, gram""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM documents),
+  g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram""")
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.ngrams(text.word_tokens(F.col("text")), 2, 2)).alias("gram"))
-    return grams.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.ngrams(text.word_tokens(F.col("text")), 2, 2)).alias("gram"))
+    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(lower(text), '\\S+')) || ' ' AS p FROM benchmark),
-  g AS (SELECT item_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM w) SELECT item_id, gram, count(*) AS n FROM g GROUP BY item_id, gram""")
+@query("""WITH w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '\\S+')) || ' ' AS p FROM documents),
+  g AS (SELECT doc_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM w) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram""")
 def char_trigrams_within_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.char_ngrams(F.col("text"), 3, 3)).alias("gram"))
-    return grams.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.char_ngrams(F.col("text"), 3, 3)).alias("gram"))
+    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderpriority AS version, count(*) AS n, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS building

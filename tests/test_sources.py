@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -49,12 +50,17 @@ def test_labels_and_sinks(spark, tmp_path):
     assert jsonl.front_matter.__doc__ and spark.range(1).select(jsonl.front_matter(F.lit("---\nname: x\nkind: a:b\n---\nbody")).alias("m")).first().m == {"name": "x", "kind": "a:b"}
 
 
-def test_scoreboard_golden(spark):
+def test_scoreboard_of_double_observations(spark):
+    schema = "event_id long, version string, triggered boolean, source string, role string, ts timestamp, snippet string, prompt_hash string, session_id string, cwd string"
+    at = lambda s: dt.datetime(2025, 3, 9, 8, 0, s)
     rows = [
-        (1, "statsver", True, "hook", None, "2024-01-01 00:00:00", "direct", "same"), (2, "statsver", True, "codex_transcript_scan", "user", "2024-01-01 00:00:01", "direct", "same"),
-        (3, "statsver", True, "codex_transcript_scan", "assistant", "2024-01-01 00:00:02", "I refuse", "assistant"), (4, "statsver", True, "hook", None, "2024-01-01 00:00:03", "\n# Files mentioned by the user: x", "wrapper"),
-        (5, "statsver", False, "hook", None, "2024-01-01 00:00:04", "direct", "plain"),
+        (11, "v7", False, "scan", "user", at(20), "is it done yet", "h1", "s", "/a"),
+        (12, "v7", True, "hook", None, at(21), "is it done yet", "h1", "s", "/a"),  # the same message, seen later
+        (13, "v7", True, "hook", "", at(22), "is it done yet", "h1", "s", "/b"),  # another folder
+        (14, "v7", True, "scan", "assistant", at(23), "not yet", "h2", "s", "/a"),
+        (15, "v7", True, "hook", "user", at(24), "  <turn_aborted> by hand", "h3", "s", "/a"),
+        (16, "v8", False, "hook", "USER ", at(25), "thanks", "h4", "s", "/a"),
+        (17, "v8", False, "hook", "user", at(26), "thanks", "", "s", "/a"),  # hashed by its text
     ]
-    frame = spark.createDataFrame(rows, "event_id long, version string, triggered boolean, source string, role string, ts string, snippet string, prompt_hash string").withColumn("ts", F.col("ts").cast("timestamp")).withColumns({"session_id": F.lit("s"), "cwd": F.lit("/w")})
-    r = ops.scoreboard(ops.collapsed(frame)).collect()
-    assert [(x.version, x.messages, x.triggers, x.rate) for x in r] == [("statsver", 2, 1, 0.5)]
+    board = {r.version: (r.messages, r.triggers, r.rate) for r in ops.scoreboard(ops.collapsed(spark.createDataFrame(rows, schema))).collect()}
+    assert board == {"v7": (2, 1, 0.5), "v8": (2, 0, 0.0)}
