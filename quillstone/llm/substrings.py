@@ -42,8 +42,9 @@ from quillstone.llm import common
 ANCHOR = 32
 #: Occurrences of an anchor from which its windows are dealt out one by one.
 HOT = 2000
-#: Bytes of suffixes that a batch of a family takes in, and that a partition is planned for.
-BATCH, PART = 2_000_000, 8_000_000
+#: Bytes of text of a batch, work (in suffixes; 32 bytes cost about as much as one) that a batch of a
+#: family takes in, and bytes that a partition is planned for.
+BATCH, WORK, PART = 2_000_000, 1_000_000, 8_000_000
 #: Parts that the copies of one text are spread over where they are joined.
 SALTS = 16
 #: Odd multipliers of the fingerprints; any will do, since matches are compared byte by byte.
@@ -114,7 +115,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _groups(data: np.ndarray, offsets: np.ndarray, most: int = BATCH) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes."""
+    """Ranges of texts of about ``most`` bytes (or of whatever else ``offsets`` sums up)."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
@@ -166,16 +167,30 @@ class Level:
         first = theirs[at].astype(np.uint64)
         low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
         k = np.flatnonzero(low < high)
-        for s in steps[1:]:
+        found = np.zeros(len(at), bool)
+        for i, s in enumerate(steps[1:], 1):
+            one = high[k] - low[k] == 1
+            self._compare(mine, theirs, at, k[one], steps[i:], low, found)
+            k = k[~one]
             if not len(k):
-                break
+                return low, found
             value = theirs[at[k] + s]
             low[k], high[k] = self._bound(mine, s, value, low[k], high[k], False), self._bound(mine, s, value, low[k], high[k], True)
             k = k[low[k] < high[k]]
-        found = np.zeros(len(at), bool)
         found[k] = True
         return low, found
 
+    def _compare(self, mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, k: np.ndarray, steps: list[int], low: np.ndarray, found: np.ndarray) -> None:
+        """Settles those with one suffix left to be equal to: it is, or they belong before or after it."""
+        a, b = self.at[low[k]].astype(np.int64), at[k]
+        for s in steps:
+            x, y = mine[a + s], theirs[b + s]
+            low[k[x < y]] += 1
+            same = x == y
+            if not same.all():
+                k, a, b = k[same], a[same], b[same]
+        found[k] = True
+
     def _bound(self, words: np.ndarray, s: int, value: np.ndarray, low: np.ndarray, high: np.ndarray, above: bool) -> np.ndarray:
         """Bisection in [low, high) for the first suffix whose word at ``s`` is not below ``value`` (or, ``above``, is above it)."""
         low, high = low.copy(), high.copy()
@@ -242,11 +257,12 @@ class Family:
         docs, starts = doc[piece], first[piece] + inside
         fp = self._fingerprints(data, at)
         # equal strings of the batch are merged before they are sorted
-        order = np.argsort(fp, kind="stable")
-        new = np.concatenate([[True], fp[order][1:] != fp[order][:-1]])
+        order = np.argsort(fp)
+        sorted_ = fp[order]
+        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
         group = np.empty(len(fp), np.int64)
         group[order] = np.cumsum(new) - 1
-        heads = order[new]  # the earliest of each
+        heads = np.minimum.reduceat(order, np.flatnonzero(new))  # the earliest of each
         if not _same(data, at, at[heads[group]], self.steps).all():  # a fingerprint of two strings
             order, new = suffix_array(data, at, self.steps)
             group[order] = np.cumsum(new) - 1
@@ -349,17 +365,31 @@ def _cut_pieces(length: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 2 * WORK) -> Iterator[pa.RecordBatch]:
+    """Batches joined to larger ones, so that many short pieces are sorted together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows + batch.nbytes // 4
+        if size > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _search(length: int):
     """Pieces in the order of (doc_id, first) to spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(length)
-        for batch in batches:
+        for batch in _gathered(batches):
             doc, th, first, last = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             data, offsets = _flat(batch.column(5))
             done = offsets[1:] == offsets[:-1]
             yield _batch(_SPAN, doc[done], th[done], (first[done] << 32) + last[done] + length)
-            for a, b in _groups(data, offsets):
+            work = np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - length + 1, 0) + np.diff(offsets) // 32 + 1)])
+            for a, b in _groups(data, work, WORK):
                 piece, inside, _, earlier, _ = family.add(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], first[a:b])
                 p, s, e = _runs(piece, inside, earlier)
                 p = p + a
