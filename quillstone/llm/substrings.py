@@ -44,7 +44,9 @@ ANCHOR = 32
 HOT = 2000
 #: Bytes of text of a batch, work (in suffixes; 32 bytes cost about as much as one) that a batch of a
 #: family takes in, and bytes that a partition is planned for.
-BATCH, WORK, PART = 2_000_000, 1_000_000, 8_000_000
+BATCH, WORK, PART = 1_000_000, 500_000, 8_000_000
+#: Rows of single strings that leave a task at a time.
+ROWS = 20_000
 #: Parts that the copies of one text are spread over where they are joined.
 SALTS = 16
 #: Odd multipliers of the fingerprints; any will do, since matches are compared byte by byte.
@@ -357,15 +359,17 @@ def _cut_pieces(length: int):
                 piece, inside, fp, earlier, fresh = family.add(own, offs_k, doc, lo[k])
                 p, s, e = _runs(piece, inside, earlier)
                 yield _batch(_PIECE, doc[p] * 31 + s, doc[p], th[p], lo[k][p] + s, lo[k][p] + e, [b""] * len(p))
-                j = np.flatnonzero(fresh)
-                begin = (x[piece[j]] + inside[j]).tolist()
-                spot = lo[k][piece[j]] + inside[j]
-                yield _batch(_PIECE, fp[j].view(np.int64), doc[piece[j]], th[piece[j]], spot, spot, [raw[q : q + length] for q in begin])
+                new = np.flatnonzero(fresh)
+                for c in range(0, len(new), ROWS):
+                    j = new[c : c + ROWS]
+                    begin = (x[piece[j]] + inside[j]).tolist()
+                    spot = lo[k][piece[j]] + inside[j]
+                    yield _batch(_PIECE, fp[j].view(np.int64), doc[piece[j]], th[piece[j]], spot, spot, [raw[q : q + length] for q in begin])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 2 * WORK) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 3 * WORK) -> Iterator[pa.RecordBatch]:
     """Batches joined to larger ones, so that many short pieces are sorted together."""
     held, size = [], 0
     for batch in batches:
