@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from quillstone.llm import simhash
+from quillstone.llm import nearcopies, simhash
 from tests.llm.conftest import ODD
 from tests.llm.test_simhash import brute_fp
 
@@ -87,3 +87,18 @@ def test_odd_rows(odd, none):
     assert simhash.without_copies(none).count() == 0
     kept = {r.doc_id for r in simhash.without_copies(odd).collect()}
     assert 1 in kept and 6 in kept and 7 not in kept and kept <= {i for i, _ in ODD}
+
+
+def test_prefix_pairs_hold_every_alike_pair(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = {}
+    for i in range(120):
+        own = np.unique(np.concatenate([rng.choice(base, rng.integers(20, 60), replace=False), rng.integers(0, 1 << 40, rng.integers(0, 12))]))
+        sets[i] = own.tolist()
+    sets |= {500 + i: sets[i] for i in range(3)} | {600: [1], 601: [1], 602: [2]}
+    nodes = spark.createDataFrame([(i, i % 7) for i in sets], "node long, component long")
+    rows = spark.createDataFrame(list(sets.items()), "node long, s array<long>")
+    found = {(r.a, r.b) for r in nearcopies.confirmed(nearcopies.prefix_pairs(nodes, rows, 0.8).distinct(), rows, 0.8).collect()}
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    assert found == {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if i % 7 != j % 7 and alike(sets[i], sets[j])} and len(found) > 20
