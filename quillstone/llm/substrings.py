@@ -44,7 +44,7 @@ ANCHOR = 32
 HOT = 2000
 #: Bytes of text of a batch, work (in suffixes; 32 bytes cost about as much as one) that a batch of a
 #: family takes in, and bytes that a partition is planned for.
-BATCH, WORK, PART = 1_000_000, 500_000, 8_000_000
+BATCH, WORK, PART = 1_000_000, 400_000, 3_000_000
 #: Rows of single strings that leave a task at a time.
 ROWS = 20_000
 #: Parts that the copies of one text are spread over where they are joined.
