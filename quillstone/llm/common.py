@@ -62,6 +62,19 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = 2_000_000) -> Ite
         a = b
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to larger ones of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def trimmed() -> None:
     """Gives freed memory back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
@@ -80,11 +93,11 @@ def released(rows: Iterator) -> Iterator:
         trimmed()
 
 
-_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20))
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(2 << 20))
 
 
 def modest(spark: SparkSession) -> None:
-    """Arrow batches of texts hold 8 MiB unless the session has a limit of its own: rows differ in
+    """Arrow batches of texts hold 2 MiB unless the session has a limit of its own: rows differ in
     size by far too much for Spark's usual 10,000 of them."""
     key, usual, ours = _BATCH
     if spark.conf.get(key, usual) == usual:

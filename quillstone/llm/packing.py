@@ -150,8 +150,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         packer = Packer(window, TaskContext.get().partitionId() << 40, open_ids)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for part in common.slices(batch, most=8_000_000):
+            for batch in common.gathered(batches, 7_000_000):
+                for part in common.slices(batch, most=10_000_000):
                     for key, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1))):
                         yield from packer.add(key, ids.tobytes() + end)
             yield from packer.flush()

@@ -369,25 +369,12 @@ def _cut_pieces(length: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 3 * WORK) -> Iterator[pa.RecordBatch]:
-    """Batches joined to larger ones, so that many short pieces are sorted together."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows + batch.nbytes // 4
-        if size > most:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _search(length: int):
     """Pieces in the order of (doc_id, first) to spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(length)
-        for batch in _gathered(batches):
+        for batch in common.gathered(batches, 6_000_000):
             doc, th, first, last = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             data, offsets = _flat(batch.column(5))
             done = offsets[1:] == offsets[:-1]
@@ -457,31 +444,34 @@ def _kept(text: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """``row`` (all columns) and ``r`` with what is removed and kept."""
+    """``row`` (all columns), ``text`` (null is empty) and ``spans``."""
     found = spans(docs, length).select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "spans")
     rows = common.whole(docs).withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
     rows = rows.join(found.hint("merge"), (F.col("row.doc_id").cast("long") == F.col("id")) & (F.xxhash64("text") == F.col("of")), "left")
-    return rows.select("row", F.arrow_udf(_kept, "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")("text", "spans").alias("r"))
+    return rows.select("row", "text", "spans")
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, removed`` (starts and ends in turn) ``, kept`` (bytes)
     of every row."""
-    return _joined(common.texts(docs), length).select("row.doc_id", "r.*")
+    kept = F.arrow_udf(_kept, "n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary")
+    return _joined(common.texts(docs), length).select("row.doc_id", kept("text", "spans").alias("r")).select("doc_id", "r.*")
 
 
 def cleaned(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts (bytes of cut characters go) and, where
     there is such a column, its length in ``n_chars``.  Rows that lose nothing stay as they are."""
-    rows = _joined(docs, length).select("row", F.when(F.col("r.n_removed") > 0, F.arrow_udf(_decoded, "string")("r.kept")).alias("left"))
+    rows = _joined(docs, length).select("row", F.arrow_udf(_left, "string")("text", "spans").alias("left"))
     row = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
     return rows.select(F.when(F.col("left").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
-def _decoded(kept: pa.Array) -> pa.Array:
-    return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+def _left(text: pa.Array, found: pa.Array) -> pa.Array:
+    """What is left of texts that lose something, else null."""
+    kept = _kept(text, found)
+    return pa.array([k.decode("utf-8", "ignore") if n else None for n, k in zip(kept.field(1).to_pylist(), kept.field(4).to_pylist())], pa.string())
 
 
 def digest(found: DataFrame) -> DataFrame:
