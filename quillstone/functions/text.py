@@ -180,9 +180,9 @@ def repetition_features(tokens: Column) -> Column:
     return bound(tokens, all_of)
 
 
-def hashed_features(features: Column) -> Column:
-    """The first 16 hex digits of each feature's SHA-256: what may be kept where words may not."""
-    return F.transform(features, lambda f: F.substring(F.sha2(f, 256), 1, 16))
+def hashed_features(features: Column, version: str) -> Column:
+    """Sorted: the first 20 hex digits of the SHA-256 of version, NUL and feature; what may be kept where words may not."""
+    return F.array_sort(F.transform(features, lambda f: F.substring(F.sha2(F.concat(F.lit(version + "\0"), f), 256), 1, 20)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -63,7 +63,7 @@ def prepared(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "dup_scope": text.key_hash(F.when(c("session_id") != "", c("session_id")).otherwise(c("transcript_path")), c("cwd"), length=20),
     })
     message = F.when(c("message_locator") != "", F.concat(F.lit("message_locator:"), c("message_locator"))).when(c("event_id") != "", F.concat(F.lit("event_id:"), c("event_id"))).otherwise(F.concat(F.lit("prompt_hash:"), F.col("prompt_hash")))
-    rows = rows.withColumns({"features": text.repetition_features(F.col("_tokens")), "observation": text.key_hash(F.col("dup_scope"), message, length=32)})
+    rows = rows.withColumns({"features": text.hashed_features(text.repetition_features(F.col("_tokens")), VERSION), "observation": text.key_hash(F.col("dup_scope"), message, length=32)})
     prompt = F.coalesce("prompt", F.lit(""))
     review = F.coalesce("review", F.lit(False)) | (F.col("score") >= settings.review)
     suppressed = (
