@@ -23,6 +23,11 @@ def vote_counts(labels: DataFrame, key: str = "record_id") -> DataFrame:
     return labels.groupBy(key).agg(F.count("should_wake").alias("votes"), yes.alias("true_votes"), no.alias("false_votes"), (yes >= no).alias("label"))
 
 
+def variant_labels(labels: DataFrame, seq: list[str]) -> DataFrame:
+    """``record_id, should_wake`` of a variant: rows with an error go, the last of the rest stays."""
+    return last_write(clean(labels), "record_id", seq).select("record_id", "should_wake")
+
+
 def majority(labels: DataFrame, key: str = "record_id") -> DataFrame:
     return vote_counts(labels, key).select(key, "label")
 
@@ -125,14 +130,15 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
 def slices(rows: DataFrame, key: str, parts: list[tuple[str, Column, list[Column], int]]) -> DataFrame:
     """Priority slices: each takes its first rows among those that no slice before it has taken.
 
-    The loop is over the slices, whose limits bound what is taken; every claimed set is a top-k of
-    known size, so it is broadcast to the next slice."""
-    taken, out = None, None
-    for name, condition, order, limit in parts:
-        left = rows if taken is None else rows.join(F.broadcast(taken), key, "left_anti")
+    The loop is over the slices.  What a slice claims is at most its limit of keys, so they are
+    fetched and excluded as literals: every slice is one scan, whatever came before it."""
+    taken, out = [], None
+    for i, (name, condition, order, limit) in enumerate(parts):
+        left = rows.where(F.coalesce(~F.col(key).isin(taken), F.lit(True))) if taken else rows
         mine = left.where(condition).orderBy(*order, key).limit(limit).withColumn("slice", F.lit(name))
         out = mine if out is None else out.unionByName(mine)
-        taken = out.select(key)
+        if i + 1 < len(parts):
+            taken = taken + [r[0] for r in mine.select(key).collect()]
     return out
 
 

@@ -54,34 +54,60 @@ def best_at_precision(rows: DataFrame, floor: float, by: list[str] | None = None
     return rows.groupBy(*(by or [])).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (by or [])]), rank).alias("r")).select(*(by or []), "r.*")
 
 
+def running(rows: DataFrame, value: str, sums: dict[str, str], descending: bool = False, ranges: int = 256) -> DataFrame:
+    """``sums``: new column to the column that it totals up to and with each row, in the order of ``value``.
+
+    Rows are dealt to about ``ranges`` ranges of the value (by approximate quantiles, one job); the ranges'
+    totals are at most one row a range, so they are broadcast as offsets of the windows inside ranges."""
+    cuts = sorted(set(rows.stat.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.001)))
+    grid = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    placed = rows.withColumn("_range", F.aggregate(grid, F.lit(0), lambda n, c: n + F.when(F.col(value) >= c, 1).otherwise(0)))
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])
+    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums.values()])
+    inside = Window.partitionBy("_range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(offsets), "_range")
+    return joined.withColumns({name: F.col(f"_o_{c}") + F.sum(c).over(inside) for name, c in sums.items()}).drop("_range", *[f"_o_{c}" for c in sums.values()])
+
+
 def ranking(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """Exact ROC AUC and average precision; null unless both classes are there.
 
-    Equal scores are merged first, so the window runs over distinct scores only."""
+    Equal scores are merged first; running counts are made by ranges of scores."""
     ties = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = ties.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    run = running(ties, score, {"tp": "p", "fp": "n"}, descending=True)
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     both = (F.sum("p") > 0) & (F.sum("n") > 0)
     return run.agg(F.when(both, F.try_divide(area, F.sum("p") * F.sum("n"))).alias("auc"), F.when(both, F.try_divide(precision, F.sum("p"))).alias("average_precision"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
-def nearest_rank(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """``q, value``: the element at floor(q (n - 1)) of the sorted values.
-
-    Equal values are merged before the running count, so the window holds distinct values only."""
+def _counted(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with their count ``c`` and running count ``upto``, and the total ``n``."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.withColumns({"upto": upto})
-    total = counts.agg(F.sum("c").alias("n"))
+    return running(counts, "value", {"upto": "c"}), counts.agg(F.sum("c").alias("n"))
+
+
+def _holds(place: str) -> Column:
+    return (F.col(place) < F.col("upto")) & (F.col(place) >= F.col("upto") - F.col("c"))
+
+
+def nearest_rank(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
+    """``q, value``: the element at floor(q (n - 1)) of the sorted values."""
+    run, total = _counted(rows, value)
     wanted = total.select(F.explode(F.array(*map(F.lit, quantiles))).alias("q"), "n").withColumn("at", F.floor(F.col("q") * (F.col("n") - 1)))
-    hit = (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c"))
-    return run.join(F.broadcast(wanted), hit).select("q", "value")  # one row per quantile
+    return run.join(F.broadcast(wanted), _holds("at")).select("q", "value")  # one row per quantile
 
 
 def interpolated(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    return rows.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("v")).select(F.posexplode("v").alias("i", "value"))
+    """``i, value``: between the elements around q (n - 1), by the distance to them; null without rows."""
+    run, total = _counted(rows, value)
+    wanted = total.select(F.posexplode(F.array(*map(F.lit, quantiles))).alias("i", "q"), (F.col("n") - 1).alias("last"))
+    wanted = wanted.withColumn("at", F.col("q") * F.col("last")).withColumns({"low": F.floor("at"), "high": F.ceil("at")})
+    near = run.join(F.broadcast(wanted), _holds("low") | _holds("high"), "right")
+    ends = near.groupBy("i", "at", "low").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return ends.select("i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))).alias("value"))
 
 
 def wakes_at(rows: DataFrame, score: str, thresholds: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import records, text
+from quillstone.operators import labels as ops
 from quillstone.operators import metrics, mining
 from quillstone.plans.tables import EVENTS, SCORED, VOTES, events, messages, scored, table, votes
 
@@ -276,3 +277,8 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.hashed_features(words, "v1").alias("hashed")).where(F.size("hashed") > 0)
+
+
+@query(f"WITH {VOTES} SELECT record_id, should_wake FROM votes WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY label_file DESC) = 1")
+def variant_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.variant_labels(votes(spark, sf_dir), ["label_file"])

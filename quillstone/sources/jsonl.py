@@ -131,3 +131,9 @@ def front_matter(text_column: Column) -> Column:
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """``term``: one lower-case ASCII word per line."""
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("term")).where(F.col("term").rlike("^[a-z]+$")).distinct()
+
+
+def model(spark: SparkSession, path: str) -> DataFrame:
+    """A model's terms as written by the sink; rows that lack a term or a number go."""
+    rows = spark.read.schema("section string, term string, idf double, coef double").json(path)
+    return rows.where("term is not null and idf is not null and coef is not null")

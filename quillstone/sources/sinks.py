@@ -10,9 +10,36 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def replace(rows: DataFrame, path: str) -> None:
-    """All or nothing, by the commit protocol of the job."""
-    rows.write.mode("overwrite").json(path)
+def replace(rows: DataFrame, path: str, backup: str | None = None) -> None:
+    """Writes beside the target and swaps the folders by renaming: a failed job leaves the target as it
+    was.  With ``backup`` the former target is kept there, else deleted.  Rows may come from the target."""
+    new, old = f"{path}.new", backup or f"{path}.old"
+    rows.write.mode("overwrite").json(new)
+    hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs
+    here, there, source = hadoop.Path(path), hadoop.Path(old), hadoop.Path(new)
+    files = here.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    if files.exists(here):
+        if backup is None:
+            files.delete(there, True)
+        elif files.exists(there):
+            raise FileExistsError(old)
+        if not files.rename(here, there):
+            raise OSError(f"{path} could not be moved")
+    if not files.rename(source, here):
+        raise OSError(f"{new} could not be moved")
+    if backup is None:
+        files.delete(there, True)
+
+
+def report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
+    """A Markdown table of at most ``most`` rows, in their order, as one text file."""
+    def cell(v) -> str:
+        return "" if v is None else f"{v:.4f}" if isinstance(v, float) else " ".join(str(v).split()).replace("|", "\\|")
+
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(most).collect()]
+    text = rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(path)
 
 
 def counted(rows: DataFrame, path: str) -> int:

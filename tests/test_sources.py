@@ -64,3 +64,21 @@ def test_scoreboard_of_double_observations(spark):
     ]
     board = {r.version: (r.messages, r.triggers, r.rate) for r in ops.scoreboard(ops.collapsed(spark.createDataFrame(rows, schema))).collect()}
     assert board == {"v7": (2, 1, 0.5), "v8": (2, 0, 0.0)}
+
+
+def test_replace_swaps_and_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.replace(spark.range(3), path)
+    sinks.replace(spark.read.json(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.json(path).collect()) == [1, 2]
+    sinks.replace(spark.range(1), path, backup=str(tmp_path / "kept"))
+    assert spark.read.json(path).count() == 1 and spark.read.json(str(tmp_path / "kept")).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["kept", "out"]
+
+
+def test_model_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([("word", "a", 1.0, 0.5), ("word", "b", 1.0, 0.0)], "section string, term string, idf double, coef double")
+    sinks.model(rows, str(tmp_path / "m"))
+    assert [r.term for r in jsonl.model(spark, str(tmp_path / "m")).collect()] == ["a"]
+    sinks.report(rows.select("term", "coef"), str(tmp_path / "r"), "Terms")
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()][-2:] == ["| a | 0.5000 |", "| b | 0.0000 |"]
