@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import jpeg, maskedlm, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
+from quillstone.llm import bestfit, jpeg, maskedlm, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents")))
 
 
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.digest(bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_substrings": op10_substrings,
+    "op13_bestfit": op13_bestfit,
 }
 
 ORACLES: dict[str, str] = {
