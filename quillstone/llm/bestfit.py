@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
@@ -128,18 +128,6 @@ def plan(counts: dict[int, int], window: int) -> Steps:
     return min(tried, key=lambda steps: steps.opened)
 
 
-def ranked(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` with ``rank`` (from 0) among those of the same ``key``.  A key may hold any share of the rows: they are
-    range-sorted by the key and ``order``, and only counts by partition meet."""
-    rows = common.durable(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)).withColumn("place", F.monotonically_increasing_id())
-    part = rows.withColumn("part", F.shiftright("place", 33))
-    runs = part.groupBy("part", key).agg(F.count("*").alias("n"), F.min("place").alias("least"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = runs.select(F.col("part").alias("part_"), F.col(key).alias("key_"), (before - F.col("least")).alias("shift"))
-    joined = part.join(offsets, (F.col("part") == F.col("part_")) & (F.col(key) == F.col("key_")))
-    return joined.withColumn("rank", F.col("place") + F.col("shift")).drop("place", "part", "part_", "key_", "shift")
-
-
 def placed(cut: DataFrame, window: int = 4096) -> DataFrame:
     """``cut`` (durable pieces with ``length``) with ``sequence_id`` and ``offset``."""
     whole = F.col("length") == window
@@ -147,7 +135,7 @@ def placed(cut: DataFrame, window: int = 4096) -> DataFrame:
     rest = cut.where(~whole)
     counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than ``window`` rows
     runs = cut.sparkSession.createDataFrame(plan(counts, window).matched, RUNS)
-    found = ranked(rest, "length", "doc_id", "piece", "ids_crc32").withColumnRenamed("length", "len")
+    found = common.ranked(rest, ["length"], ["doc_id", "piece", "ids_crc32"]).withColumnRenamed("length", "len")
     met = found.join(F.broadcast(runs), (F.col("len") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     nth = F.col("rank") - F.col("first")
     short = met.withColumn("sequence_id", -1 - F.col("window_no") - F.floor(nth / F.col("each"))).withColumn("offset", F.col("offset") + nth % F.col("each") * F.col("len"))

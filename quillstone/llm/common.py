@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,26 @@ def released(rows: Iterator) -> Iterator:
         trimmed()
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``rows`` with their place (from 0) among those of equal ``keys`` (of all rows, without keys) in ``order``.
+
+    A key may hold any share of the rows: they are range-sorted by keys and order and written once, and what
+    meets is a count for each partition and key.  That table is broadcast; it has at most a row for each
+    partition and each key, so the keys must be of a bounded number.
+    """
+    sort = [*keys, *order]
+    held = durable(rows.repartitionByRange(*sort).sortWithinPartitions(*sort)).withColumn("place_", F.monotonically_increasing_id())
+    part = held.withColumn("part_", F.shiftright("place_", 33))
+    runs = part.groupBy("part_", *keys).agg(F.count("*").alias("n_"), F.min("place_").alias("least_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = runs.select("part_", *[F.col(k).alias(f"{k}_") for k in keys], (before - F.col("least_")).alias("shift_"))
+    on = part["part_"] == shifts["part_"]
+    for k in keys:
+        on = on & part[k].eqNullSafe(shifts[f"{k}_"])
+    met = part.join(F.broadcast(shifts), on)
+    return met.select(*rows.columns, (F.col("place_") + F.col("shift_")).alias(name))
+
+
 _BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(2 << 20))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bestfit, jpeg, maskedlm, mtree, packing, pieces, quality, sharding, simhash, sql, substrings, toxicity
+from quillstone.llm import bestfit, jpeg, maskedlm, mtree, packing, phrases, pieces, quality, sharding, simhash, sql, substrings, toxicity, variants
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.phrases(table(spark, sf_dir, "documents"), least=100, longest=5, most=2000))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.digest(bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
 
@@ -70,10 +78,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_substrings": op10_substrings,
+    "op11_phrases": op11_phrases,
+    "op12_variants": op12_variants,
     "op13_bestfit": op13_bestfit,
 }
 
 ORACLES: dict[str, str] = {
     "op4_sharding": sql.OP4_SHARDING,
     "op6_mtree": sql.OP6_MTREE,
+    "op11_phrases": sql.OP11_PHRASES,
+    "op12_variants": sql.OP12_VARIANTS,
 }
