@@ -6,6 +6,11 @@ are parsed to VARIANT and only the paths asked for are extracted.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,16 +18,35 @@ from pyspark.sql.types import StructType
 from quillstone.functions import text
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", newest_since: str | None = None) -> DataFrame:
-    """``path, modified, line, value``: every line with its 1-based number in its file.
+LINES = "path string, modified timestamp, line long, value string"
+
+
+def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", newest_since: str | None = None, missing_ok: bool = False) -> DataFrame:
+    """``path, modified, line, value``: every line that isn't blank, with its 1-based number in its file.
 
-    Numbers come from the place of a line in its file's text, so files are read whole; transcripts
-    are small, many files make many tasks."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    Large files are read in splits.  A first pass, which reads no values into rows, counts each split's lines; the sums
+    before a split are its offset, and a line's number is offset plus place.  That table (a row for each split) is
+    broadcast.  Both passes plan the same splits, since these depend on the files' sizes only.  A path that isn't
+    there raises, or gives no rows with ``missing_ok``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if missing_ok and not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], LINES)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
     if newest_since:
         reader = reader.option("modifiedAfter", newest_since)
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return whole.select("path", "modified", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select("path", "modified", (F.col("at") + 1).alias("line"), "value").where("trim(value) <> ''")
+    split = [F.col(f"_metadata.{c}").alias(d) for c, d in (("file_path", "path"), ("file_modification_time", "modified"), ("file_block_start", "_split"))]
+    found = reader.text(path).select(*split, "value", F.monotonically_increasing_id().alias("_place"))
+    splits = found.groupBy("path", "_split").agg(F.count("*").alias("n"), F.min("_place").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("path", "_split", (before - F.col("least") + 1).alias("_offset"))
+    numbered = found.join(F.broadcast(offsets), ["path", "_split"])
+    return numbered.select("path", "modified", (F.col("_place") + F.col("_offset")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value")).where("trim(value) <> ''")
+
+
+def strict_lines(rows: DataFrame) -> DataFrame:
+    """``lenient`` rows; a line that holds no object stops the job and is named as ``file:line``."""
+    where = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": no JSON object"))
+    return preserving(rows).withColumn("row", F.coalesce("row", F.raise_error(where).cast("variant")))
 
 
 def preserving(rows: DataFrame) -> DataFrame:
@@ -115,10 +139,55 @@ def newest_files(spark: SparkSession, path: str, k: int = 20, since: str | None
     return reader.load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).orderBy(F.desc("modified"), "path").limit(k)
 
 
-def snapshot(spark: SparkSession, path: str, head: int = 1 << 20) -> DataFrame:
-    """``path, modified, size, head``: the head is the SHA-256 of a file's first bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2(F.substring("content", 1, head), 256).alias("head"))
+def snapshot(spark: SparkSession, path: str, head: int = 1 << 20, depth: int | None = None, skipped: list[str] | None = None, names: list[str] | None = None, most_bytes: int | None = None) -> DataFrame:
+    """``path, modified, size, head`` of the files below a folder: the head is the SHA-256 of a file's first bytes.
+
+    ``depth``: folders below ``path`` at most; ``skipped``: names of folders that are left out with all below;
+    ``names``: patterns (SQL ``like``) one of which a file's name must match; ``most_bytes``: larger files go.
+    Listing reads no contents; a task then reads the first ``head`` bytes of its files, and no more."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    below = F.slice(F.split(F.substring_index("path", root + "/", -1), "/"), 1, 1 << 20)
+    folders, name = F.slice(below, 1, F.size(below) - 1), F.element_at(below, -1)
+    if depth is not None:
+        files = files.where(F.size(folders) <= depth)
+    if skipped:
+        files = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
+    if names:
+        wanted = F.lit(False)
+        for pattern in names:
+            wanted = wanted | name.like(pattern)
+        files = files.where(wanted)
+    if most_bytes is not None:
+        files = files.where(F.col("size") <= most_bytes)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                store, at = pa_fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(at, compression=None) as stream:
+                    found.append(hashlib.sha256(stream.read(head)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "head"])
+
+    return files.mapInArrow(heads, "path string, modified timestamp, size long, head string")
+
+
+def messages(rows: DataFrame) -> DataFrame:
+    """Messages of both kinds of transcripts: a line is of one kind at most."""
+    return codex_messages(rows).unionByName(claude_messages(rows))
+
+
+def last_message(rows: DataFrame) -> DataFrame:
+    """The last message of each file."""
+    kept = [c for c in rows.columns if c != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*kept), "line").alias("_m")).select("path", "_m.*")
+
+
+def transcript_counts(rows: DataFrame) -> DataFrame:
+    """Per source: files and messages."""
+    return rows.groupBy("source").agg(F.countDistinct("path").alias("files"), F.count("*").alias("messages"))
 
 
 def front_matter(text_column: Column) -> Column:
