@@ -119,7 +119,8 @@ def dictionary(made: DataFrame, least: int) -> DataFrame:
 
 def encoded(made: DataFrame, known: DataFrame) -> DataFrame:
     """Every block's stream of ids as durable rows of ``STREAM``: 0 is a break, and so is every word without id."""
-    ids = made.select("block", F.posexplode("words").alias("pos", "key")).join(known.select("key", "id"), "key").groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("id"))
+    word = made.select("block", F.posexplode("words").alias("pos", "key")).join(known.select("key", "id"), "key", "left")
+    ids = word.groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.coalesce("id", F.lit(0))).alias("id"))
     rows = made.select("block", "codes", "size").join(ids, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
