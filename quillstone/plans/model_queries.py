@@ -60,7 +60,32 @@ def version_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("o_orderpriority").alias("version")).agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
 
 
-@query()
+STOPPED = ", ".join(f"'{w}'" for w in repetition.STOPWORDS)
+
+
+@query(rf"""WITH said AS (
+  SELECT conv_id || '-' || turn AS event_id, conv_id * 30 + turn * 10 AS ts, text, conv_id, conv_id % 5 AS place FROM conversations WHERE role = 'user'
+), words AS (
+  SELECT *, list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*'), lambda w: rtrim(w, '''')), lambda w: length(w) >= 2 AND w NOT IN ({STOPPED})) AS ws FROM said
+), stems AS (
+  SELECT *, list_transform(ws, lambda w: CASE WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, -3) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, -2)
+    WHEN w LIKE '%es' AND length(w) >= 5 THEN left(w, -2) WHEN w LIKE '%s' AND length(w) >= 5 THEN left(w, -1) ELSE w END) AS st FROM words
+), features AS (
+  SELECT *, list_distinct(list_concat(list_transform(st, lambda w: 'w:' || w),
+    list_transform(range(1, len(st)), lambda i: 'b:' || st[i] || ' ' || st[i + 1]),
+    list_transform(range(1, length(array_to_string(st, ' ')) - 2), lambda i: 'c:' || substr(array_to_string(st, ' '), i, 4)))) AS f FROM stems
+), ok AS (
+  SELECT *, EXISTS (SELECT 1 FROM said o WHERE o.conv_id = e.conv_id AND o.text = e.text AND o.ts < e.ts AND o.ts >= e.ts - 600) AS twice
+  FROM features e WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 24 AND len(ws) >= 4 AND len(f) >= 4
+), kept AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY ts, event_id) AS nth FROM ok WHERE NOT twice
+), pairs AS (
+  SELECT e.event_id, o.event_id AS other, o.nth, len(list_intersect(e.f, o.f)) / CAST(len(e.f) + len(o.f) - len(list_intersect(e.f, o.f)) AS DOUBLE) AS share
+  FROM kept e JOIN kept o ON e.place = o.place AND o.nth < e.nth AND o.nth >= e.nth - 75 AND o.ts >= e.ts - 1800
+), likes AS (
+  SELECT event_id, count(*) AS n, max(share) AS top, list(other ORDER BY share DESC, nth)[1:5] AS alike FROM pairs WHERE share >= 0.2 GROUP BY event_id
+)
+SELECT o.event_id, o.place, twice AS duplicate, CAST(1 + coalesce(n, 0) AS INT) AS repeat_count, coalesce(round(top, 4), 0.0) AS similarity, NOT twice AND coalesce(n, 0) >= 1 AS triggered, coalesce(alike, []) AS "similar"
+FROM ok o LEFT JOIN likes USING (event_id)""")
 def repetition_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     events = c.select(
@@ -68,7 +93,8 @@ def repetition_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("prompt"), F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("/w/"), (F.col("conv_id") % 5).cast("string")).alias("cwd"),
         F.lit("").alias("transcript_path"), F.lit("").alias("message_locator"), F.lit(0.5).alias("score"), F.lit(True).alias("review"), F.lit(False).alias("triggered"),
     )
-    return repetition.batch(events, "ts", repetition.Settings(similarity=0.2))
+    found = repetition.joined(events, "ts", repetition.Settings(similarity=0.2))
+    return found.select("event_id", (F.split("event_id", "-")[0].cast("long") % 5).alias("place"), "duplicate", "repeat_count", "similarity", "triggered", "similar")
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:

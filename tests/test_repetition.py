@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,20 @@ def test_stream_collapses_and_counts(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
     streaming.drained(streaming.collapsed(stream), lambda b, _: got.extend(r.event_id for r in b.collect()), str(tmp_path / "c"))
     assert sorted(got) == [1, 3] or sorted(got) == [2, 3]
+
+
+def test_joins_agree_with_the_replay(spark):
+    """One hot scope with many sessions and repeats, small ones, windows that end, more entries than are kept."""
+    rng = random.Random(8)
+    words = "ignored failing integration tests docs again never read build broken output wrong file reverted change twice".split()
+    events, at = [], 0.0
+    for i in range(900):
+        at += rng.choice([1, 2, 3, 40]) if i % 300 else 2000
+        prompt = rng.choice([P1, P2, " ".join(rng.sample(words, 7))])
+        events.append((f"e{i:04}", at, rng.choice([None, at]), prompt, f"s{rng.randint(0, 40)}", "/hot" if rng.random() < 0.7 else f"/w{rng.randint(0, 9)}", "/t/x", rng.choice([None, None, f"m{rng.randint(0, 30)}"]), 0.5, True, rng.random() < 0.2))
+    frame = spark.createDataFrame(events, SCHEMA).repartition(5)
+    settings = repetition.Settings(window=600, duplicate=60, similarity=0.3)
+    want = sorted(map(tuple, repetition.batch(frame, "ts", settings).collect()))
+    got = sorted(map(tuple, repetition.joined(frame, "ts", settings).collect()))
+    assert [g for g, w in zip(got, want) if g != w][:3] == [] and len(got) == len(want)
+    assert sum(g[2] for g in got) > 10 and max(g[3] for g in got) > 20
