@@ -1,12 +1,19 @@
 """Sparse n-gram models: term counts, idf, normalised scores, explanations, centroid differences.
 
-A model is a table ``section, term, idf, coef``.  Scoring explodes a text's n-grams, joins them to
-the model, and only then aggregates, so terms outside the model are never shuffled.  The model is
-broadcast behind a check of its size and joined by a shuffle beyond it.
+A model is a table ``section, term, idf, coef``.  A text's n-grams are counted within its row (in Arrow batches), so
+no pair of document and term is shuffled to be counted; they are then joined to the model, and what
+it knows meets again by document, in one exchange.  The model is broadcast behind a check of its size and joined by a
+shuffle beyond it.  A document is one row: ``key`` is unique.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +23,48 @@ from quillstone.functions import scalars, text
 SMALL_MODEL = 200_000
 
 
+def counted(docs: DataFrame, key: str, sections: dict[str, Column]) -> DataFrame:
+    """``key, section, term, count`` of the n-grams of every section."""
+    names = list(sections)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(names, 1):
+                grams = batch.column(i)
+                known = grams.flatten().dictionary_encode()
+                n = len(known.dictionary)
+                if not n:
+                    continue
+                row = np.repeat(np.arange(len(grams)), pc.fill_null(grams.value_lengths(), 0).to_numpy())
+                pairs, counts = np.unique(row * n + known.indices.to_numpy(), return_counts=True)
+                for a in range(0, len(pairs), 100_000):
+                    p = pairs[a : a + 100_000]
+                    columns = [batch.column(0).take(pa.array(p // n)), pa.array([name] * len(p)), known.dictionary.take(pa.array(p % n)), pa.array(counts[a : a + 100_000])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "section", "term", "count"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    found = docs.select(F.col(key), *sections.values()).mapInArrow(run, f"key {kind}, section string, term string, count long")
+    return found.withColumnRenamed("key", key)
+
+
 def terms(docs: DataFrame, key: str, grams: Column, section: str = "word") -> DataFrame:
     """``key, section, term, count``."""
-    rows = docs.select(F.col(key), F.lit(section).alias("section"), F.explode(grams).alias("term"))
-    return rows.groupBy(key, "section", "term").agg(F.count("*").alias("count"))
+    return counted(docs, key, {section: grams})
+
+
+def document_frequency(docs: DataFrame, grams: Column) -> DataFrame:
+    """``term, df``: documents that have each term, combined before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weighed(frequency: DataFrame, documents: int) -> DataFrame:
+    """``term, df, idf`` with ln((1 + N) / (1 + df)) + 1."""
+    return frequency.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1)
 
 
 def idf(counts: DataFrame, documents: int) -> DataFrame:
-    """``term, df, idf`` with ln((1 + N) / (1 + df)) + 1; ``counts`` has a row per document and term."""
-    return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1)
+    """``term, df, idf``; ``counts`` has a row per document and term."""
+    return weighed(counts.groupBy("term").agg(F.count("*").alias("df")), documents)
 
 
 def tf(count: Column, sublinear: bool = True) -> Column:
@@ -35,25 +75,65 @@ def sized(model: DataFrame, most: int = SMALL_MODEL) -> DataFrame:
     return F.broadcast(model) if model.limit(most + 1).count() <= most else model
 
 
+def _matched(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, by: list[str], sublinear: bool) -> DataFrame:
+    """``by, parts``: a document's known terms in order, with their normalised share of the score."""
+    value = tf(F.col("count"), sublinear) * F.col("idf")
+    known = counted(docs, key, sections).join(sized(model), ["section", "term"]).select(*by, F.struct("section", "term", value.alias("v"), "coef").alias("_t"))
+    gathered = known.groupBy(*by).agg(F.array_sort(F.collect_list("_t")).alias("_t"))  # a document's own terms
+    norms = {name: F.sqrt(F.aggregate("_t", F.lit(0.0), (lambda name: lambda s, t: s + F.when(t["section"] == name, t["v"] * t["v"]).otherwise(0.0))(name))) for name in sections}
+    gathered = gathered.withColumns({f"_n{i}": norm for i, norm in enumerate(norms.values())})
+
+    def share(t: Column) -> Column:
+        norm = F.lit(None).cast("double")
+        for i, name in enumerate(sections):
+            norm = F.when(t["section"] == name, F.col(f"_n{i}")).otherwise(norm)
+        return F.struct(t["section"].alias("section"), t["term"].alias("term"), (t["v"] / norm * t["coef"]).alias("contribution"))
+
+    return gathered.select(*by, F.transform("_t", share).alias("parts"))
+
+
 def contributions(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, sublinear: bool = True) -> DataFrame:
     """``key, section, term, contribution`` of the terms that the model has."""
-    grams = F.array(*[F.struct(F.lit(name).alias("section"), g.alias("terms")) for name, g in sections.items()])
-    exploded = docs.select(key, F.explode(grams).alias("s")).select(key, F.col("s.section").alias("section"), F.explode("s.terms").alias("term"))
-    known = exploded.join(sized(model), ["section", "term"]).groupBy(key, "section", "term").agg(F.count("*").alias("n"), F.first("idf").alias("idf"), F.first("coef").alias("coef"))
-    valued = known.withColumn("v", tf(F.col("n"), sublinear) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key, "section")))  # a document's own terms
-    return valued.select(key, "section", "term", (F.col("v") / norm * F.col("coef")).alias("contribution"))
+    return _matched(docs, key, sections, model, [key], sublinear).select(key, F.inline("parts"))
+
+
+def _told(parts: DataFrame, by: list[str], explain: int) -> DataFrame:
+    best = F.transform(F.filter("parts", lambda c: c["contribution"] > 0), lambda c: F.struct((-c["contribution"]).alias("o"), c["section"].alias("section"), c["term"].alias("term"), c["contribution"].alias("contribution")))
+    shown = F.transform(F.slice(F.array_sort(best), 1, explain), lambda b: F.struct(b["section"].alias("section"), b["term"].alias("term"), b["contribution"].alias("contribution")))
+    return parts.select(*by, F.aggregate("parts", F.lit(0.0), lambda s, c: s + c["contribution"]).alias("x"), shown.alias("e"))
+
+
+NOTHING = "array<struct<section:string,term:string,contribution:double>>"
 
 
 def scores(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, intercept: float, explain: int = 8) -> DataFrame:
     """``key, score, explanations``: the probability and the largest positive contributions.  A text
     without known terms has the probability of the intercept."""
-    parts = contributions(docs, key, sections, model)
-    best = F.struct((-F.col("contribution")).alias("o"), "section", "term", "contribution")
-    per = parts.groupBy(key).agg(F.sum("contribution").alias("x"), F.slice(F.array_sort(F.collect_list(F.when(F.col("contribution") > 0, best))), 1, explain).alias("e"))
-    shown = F.transform("e", lambda b: F.struct(b["section"].alias("section"), b["term"].alias("term"), b["contribution"].alias("contribution")))
-    found = docs.select(key).join(per, key, "left")
-    return found.select(key, scalars.sigmoid(intercept + F.coalesce("x", F.lit(0.0))).alias("score"), F.coalesce(shown, F.array().cast("array<struct<section:string,term:string,contribution:double>>")).alias("explanations"))
+    found = docs.select(key).join(_told(_matched(docs, key, sections, model, [key], True), [key], explain), key, "left")
+    return found.select(key, scalars.sigmoid(intercept + F.coalesce("x", F.lit(0.0))).alias("score"), F.coalesce("e", F.array().cast(NOTHING)).alias("explanations"))
+
+
+def family_scores(docs: DataFrame, key: str, sections: dict[str, Column], models: DataFrame, intercepts: dict[str, float | None], explain: int = 8) -> DataFrame:
+    """``key, model, score, explanations, error`` under every model of ``models`` (``model, section, term, idf, coef``) in one
+    pass over the texts.  A model without an intercept, without terms or with a weight that is no finite number gives
+    ``error`` and no score, and harms no other."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    state = {r.model: r for r in models.where(F.col("model").isin(*intercepts)).groupBy("model").agg(F.count("*").alias("n"), F.count_if(bad("idf") | bad("coef")).alias("bad")).collect()}  # a row a model
+    errors = {}
+    for name, intercept in intercepts.items():
+        if intercept is None or not math.isfinite(intercept):
+            errors[name] = "no intercept"
+        elif name not in state:
+            errors[name] = "no weights"
+        elif state[name].bad:
+            errors[name] = f"{state[name].bad} weights are no numbers"
+    good = [name for name in intercepts if name not in errors]
+    parts = _matched(docs, key, sections, models.where(F.col("model").isin(*good) if good else F.lit(False)), [key, "model"], True)
+    heads = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(None if n in errors else b).cast("double").alias("b"), F.lit(errors.get(n)).alias("error")) for n, b in intercepts.items()]))
+    every = docs.select(key, heads.alias("h")).select(key, "h.*")
+    found = every.join(_told(parts, [key, "model"], explain), [key, "model"], "left")
+    score = F.when(F.col("error").isNull(), scalars.sigmoid(F.col("b") + F.coalesce("x", F.lit(0.0))))
+    return found.select(key, "model", score.alias("score"), F.coalesce("e", F.array().cast(NOTHING)).alias("explanations"), F.col("error").cast("string").alias("error"))
 
 
 def word_section(column: str = "text", low: int = 1, high: int = 1) -> Column:

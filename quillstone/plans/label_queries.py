@@ -297,7 +297,7 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1, 9) AS idf FROM tok GROUP BY term""")
 def document_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    return scoring.idf(scoring.terms(docs, "id", scoring.word_section()), docs.count()).withColumn("idf", F.round("idf", 9))
+    return scoring.weighed(scoring.document_frequency(docs, scoring.word_section()), docs.count()).withColumn("idf", F.round("idf", 9))
 
 
 _MODEL = [("the", 1.5, 0.8), ("and", 1.7, -0.4), ("der", 2.0, 0.6), ("que", 2.2, -0.7), ("stupid", 4.0, 2.5), ("trash", 4.1, 2.2)]
