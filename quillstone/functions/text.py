@@ -87,15 +87,17 @@ def first_of(*values: Column) -> Column:
 
 def is_control(text: Column, more: Iterable[str] = ()) -> Column:
     """The text, left-trimmed and lower-cased, starts as a control message; ``more`` are a host's own (lower-case) beginnings."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
-    return _any(F.startswith(t, F.lit(p)) for p in (*CONTROL_PREFIXES, *more))
+    begin = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
+    return bound(begin, lambda t: _any(F.startswith(t, F.lit(p)) for p in (*CONTROL_PREFIXES, *more)))
 
 
 def is_corpus_control(text: Column) -> Column:
     """Empty, a (case-sensitive) control prefix, or one tag that mentions cwd."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    tag = F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")) & F.contains(t, F.lit("cwd"))
-    return (t == "") | _any(F.startswith(t, F.lit(p)) for p in CORPUS_CONTROL_PREFIXES) | tag
+    def holds(t: Column) -> Column:
+        tag = F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")) & F.contains(t, F.lit("cwd"))
+        return (t == "") | _any(F.startswith(t, F.lit(p)) for p in CORPUS_CONTROL_PREFIXES) | tag
+
+    return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), holds)
 
 
 def is_control_phrase(text: Column) -> Column:
@@ -104,9 +106,9 @@ def is_control_phrase(text: Column) -> Column:
 
 def is_pasted(text: Column, more: Iterable[str] = ()) -> Column:
     """Starts as a paste (or as one of a host's own beginnings), or is long with many lines, or holds two fences."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
+    begin = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""))
     fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3
-    return _any(F.startswith(t, F.lit(p)) for p in (*PASTE_PREFIXES, *more)) | ((F.length(text) > 1000) & (line_count(text) > 18)) | ((F.length(text) > 500) & (fences >= 2))
+    return bound(begin, lambda t: _any(F.startswith(t, F.lit(p)) for p in (*PASTE_PREFIXES, *more))) | ((F.length(text) > 1000) & (line_count(text) > 18)) | ((F.length(text) > 500) & (fences >= 2))
 
 
 def line_count(text: Column) -> Column:

@@ -46,10 +46,14 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return first.select(*keys, "_row.*").select(*rows.columns)
 
 
-def collapsed(events: DataFrame, bucket_seconds: int = 120, order: list[str] | None = None) -> DataFrame:
-    """Direct events, one per count key."""
+def collapsed(events: DataFrame, bucket_seconds: int = 120, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Direct events, one per count key; with ``columns`` only these go through the shuffle and come out."""
+    order = order or ["event_id"]
     keyed = direct_user(events).withColumn("_key", count_key(events, bucket_seconds))
-    return first_per_key(keyed, ["_key"], order or ["event_id"]).drop("_key")
+    if columns is not None:
+        keyed = keyed.select("_key", *dict.fromkeys([*order, *columns]))
+    first = first_per_key(keyed, ["_key"], order).drop("_key")
+    return first if columns is None else first.select(*columns)
 
 
 def scoreboard(events: DataFrame, order: str = "event_id") -> DataFrame:
@@ -107,6 +111,32 @@ def latest(events: DataFrame, by: list[str]) -> DataFrame:
     return events.agg(F.max_by(F.struct(*events.columns), F.struct(*by)).alias("e")).select("e.*")
 
 
+def latest_processed(messages: DataFrame, events: DataFrame, source: str) -> DataFrame:
+    """The latest message (``path, line, ts``) and what became of it: ``processed``, ``triggered`` of the last event of that source for
+    its path and line, and ``behind``, seconds since the latest event if that is older.  One row; none without messages."""
+    newest = messages.where("ts is not null").agg(F.max_by(F.struct("path", "line", "ts"), F.struct("ts", "path", "line")).alias("m")).where("m is not null").select("m.*")
+    own = events.where(F.col("source") == source).select(F.col("transcript_path").alias("path"), F.col("transcript_line").alias("line"), "event_id", "triggered")
+    seen = own.join(F.broadcast(newest.select("path", "line")), ["path", "line"], "left_semi").groupBy("path", "line").agg(F.max_by("triggered", "event_id").alias("triggered"), F.lit(True).alias("processed"))
+    last = events.agg(F.max("ts").alias("_last"))
+    found = newest.join(seen, ["path", "line"], "left").crossJoin(last)  # one row each
+    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("_last").cast("timestamp"))
+    return found.select("path", "line", "ts", F.coalesce("processed", F.lit(False)).alias("processed"), "triggered", F.when(gap > 0, gap).alias("behind"))
+
+
+def manual_events(snapshots: DataFrame, messages: DataFrame, sessions: DataFrame, run_id: str, now: str, version: str, session_id: str = "", cwd: str = "") -> DataFrame:
+    """An event for each changed snapshot (``path, nth``): its last user message (``path, line, text``), its session (``path, session_id,
+    cwd``), marked as a manual run.  A file without a message gives an event without text."""
+    last = messages.groupBy("path").agg(F.max("line").alias("line"), F.max_by("text", "line").alias("prompt"))
+    rows = snapshots.join(last, "path", "left").join(sessions.select("path", F.col("session_id").alias("_s"), F.col("cwd").alias("_c")), "path", "left")
+    told = F.coalesce("prompt", F.lit("")) != ""
+    event_id = F.concat(F.lit(f"manual:{run_id}:"), F.col("nth").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.coalesce("line", F.lit(0)).cast("string"))
+    return rows.select(
+        event_id.alias("event_id"), F.lit(now).cast("timestamp").alias("ts"), F.lit("manual_run").alias("source"), F.lit(version).alias("version"), F.lit(True).alias("triggered"),
+        F.lit("manual").alias("wake_reason"), F.lit(True).alias("review_triggered"), text.first_of(F.lit(session_id), F.col("_s")).alias("session_id"), text.first_of(F.col("_c"), F.lit(cwd)).alias("cwd"),
+        F.col("path").alias("transcript_path"), F.col("line").alias("transcript_line"), F.concat_ws(":", "path", "line").alias("message_locator"), event_id.alias("dedupe_key"),
+        F.when(told, F.sha2("prompt", 256)).alias("prompt_hash"), F.when(told, F.substring("prompt", 1, 4000)).alias("prompt"), F.coalesce(F.substring("prompt", 1, 300), F.lit("")).alias("snippet"))
+
+
 def usage_leader(events: DataFrame, host: str, preference: list[str]) -> DataFrame:
     """The host with most events; then the latest, then the one named earlier in ``preference``."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, preference)), F.col(host)), F.lit(0))
@@ -114,8 +144,23 @@ def usage_leader(events: DataFrame, host: str, preference: list[str]) -> DataFra
     return used.orderBy(F.desc("n"), F.desc("latest"), F.when(rank == 0, len(preference) + 1).otherwise(rank), host).limit(1)
 
 
-def run_summary(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.count("*").alias("runs"), F.sum("event_count").alias("events"), F.count_if("dry_run").alias("dry_runs"))
+def run_summary(runs: DataFrame, order: str, by: list[str] | None = None, last: int = 4) -> DataFrame:
+    """Counts of runs, and the last ones in ``order``, latest first (the rank limit is applied before the shuffle)."""
+    found = runs.groupBy(*(by or [])).agg(F.count("*").alias("runs"), F.sum("event_count").alias("events"), F.count_if("dry_run").alias("dry_runs"))
+    rank = F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.desc(order)))
+    kept = runs.withColumn("_rank", rank).where(F.col("_rank") <= last).groupBy(*(by or [])).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", order))), lambda x: x[order]).alias("last_runs"))
+    return found.join(kept, by) if by else found.crossJoin(kept)  # one row each
+
+
+def status_summary(events: DataFrame, floor: float = 0.4) -> DataFrame:
+    """Raw, direct and triggered events, those with a main score and with any of another model, distinct versions and
+    models (``alternates``: a map of model to score), and whether any score reaches ``floor``."""
+    direct = F.lower(text.compact(F.col("role"))).isin("", "user") & ~text.is_control(event_text(events))
+    models = F.map_keys("alternates")
+    return events.agg(
+        F.count("*").alias("raw"), F.count_if(direct).alias("direct"), F.count_if(direct & F.col("triggered")).alias("triggered"), F.count("score").alias("scored"),
+        F.count_if(F.size(models) > 0).alias("shadow_scored"), F.countDistinct("version").alias("versions"), F.max(F.col("score") >= floor).alias("any_reaches_floor"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(models)))).alias("models"))
 
 
 def tail(rows: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars
+from quillstone.operators.store import durable, summed
 
 
 def clean(labels: DataFrame, least_confidence: float = 0.0) -> DataFrame:
@@ -127,18 +128,25 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
 
 
+#: Keys that earlier slices have claimed, up to which they are broadcast.
+CLAIMED = 100_000
+
+
 def slices(rows: DataFrame, key: str, parts: list[tuple[str, Column, list[Column], int]]) -> DataFrame:
     """Priority slices: each takes its first rows among those that no slice before it has taken.
 
-    The loop is over the slices.  What a slice claims is at most its limit of keys, so they are
-    fetched and excluded as literals: every slice is one scan, whatever came before it."""
-    taken, out = [], None
-    for i, (name, condition, order, limit) in enumerate(parts):
-        left = rows.where(F.coalesce(~F.col(key).isin(taken), F.lit(True))) if taken else rows
+    The loop is over the slices.  A slice is written down once; what slices have claimed is at most the sum of their
+    limits, and is broadcast to the next ones' scans while that is small."""
+    out, limits = None, 0
+    for name, condition, order, limit in parts:
+        left = rows
+        if out is not None:
+            claimed = out.select(F.col(key).alias("_claimed"))
+            left = rows.join(F.broadcast(claimed) if limits <= CLAIMED else claimed, F.col(key) == F.col("_claimed"), "left_anti")
         mine = left.where(condition).orderBy(*order, key).limit(limit).withColumn("slice", F.lit(name))
+        mine = mine if len(parts) == 1 else durable(mine)
         out = mine if out is None else out.unionByName(mine)
-        if i + 1 < len(parts):
-            taken = taken + [r[0] for r in mine.select(key).collect()]
+        limits += limit
     return out
 
 
@@ -147,10 +155,75 @@ def batches(rows: DataFrame, order: str, size: int, group: str) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size).cast("int"))
 
 
-def stratified_folds(rows: DataFrame, key: str, label: str, k: int, buckets: int = 1) -> DataFrame:
-    """``fold``: rows of a class are dealt out in the order of their hash."""
-    w = Window.partitionBy(label).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+def stratified_folds(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """``fold``: rows of a class are dealt out in the order of their hash, whose first two digits cut a class into parts."""
+    hashed = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumns({"_part": F.substring("_h", 1, 2), "_one": F.lit(1)})
+    return summed(hashed, [label], "_part", ["_h", key], "_one", "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int")).drop("_h", "_part", "_one")
+
+
+def bands(score: Column, cuts: list[tuple[str, float, float]]) -> Column:
+    """The name of the band [low, high) that holds a score; null outside all."""
+    return F.coalesce(*[F.when((score >= low) & (score < high), name) for name, low, high in cuts])
+
+
+def with_subject(rows: DataFrame, subjects: DataFrame, version: str, subject: str, most: int = 100_000) -> DataFrame:
+    """Rows with the subject of their version; one that isn't known has an empty one.  The dimension is unique by version (the least
+    subject of repeated ones) and broadcast up to ``most`` versions."""
+    dimension = subjects.groupBy(F.col(version).alias("_version")).agg(F.min(subject).alias("_subject"))
+    small = subjects.limit(most + 1).count() <= most
+    found = rows.join(F.broadcast(dimension) if small else dimension, F.col(version) == F.col("_version"), "left")
+    return found.withColumn(subject, F.coalesce("_subject", F.lit(""))).drop("_version", "_subject")
+
+
+def auxiliary(corpus: DataFrame, labels: DataFrame, gold: DataFrame, weight: float, least_confidence: float = 0.0, positives: bool = True, negatives: bool = True, seq: str = "seq") -> DataFrame:
+    """``id, label, weight`` of training rows beside the gold ones: clean labels with enough confidence, the first of each record,
+    of the wanted classes, none of a gold record (``id``), and only records that the corpus has."""
+    first = clean(labels, least_confidence).groupBy("record_id").agg(F.min_by("should_wake", seq).alias("label"))
+    wanted = (F.col("label") & F.lit(positives)) | (~F.col("label") & F.lit(negatives))
+    rows = first.where(wanted).select(F.col("record_id").alias("id"), F.col("label").cast("double").alias("label"), F.lit(weight).alias("weight"))
+    return rows.join(gold.select("id"), "id", "left_anti").join(corpus.select("id"), "id", "left_semi")
+
+
+def student_labels(hard: DataFrame, teacher: DataFrame, corpus: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Label rows of a student: all hard ones, and teacher's for records that the corpus has and that neither a hard label nor the
+    holdout (``record_id``) has; ``reason`` says why a teacher's row is left out (null: it is in)."""
+    def seen(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias("record_id")).distinct().withColumn(name, F.lit(True))
+
+    rows = teacher.join(seen(corpus, "id", "_known"), "record_id", "left").join(seen(hard, "record_id", "_hard"), "record_id", "left").join(seen(holdout, "record_id", "_held"), "record_id", "left")
+    reason = F.when(F.col("error").isNotNull(), "error").when(F.col("_held").isNotNull(), "holdout").when(F.col("_hard").isNotNull(), "hard_label").when(F.col("_known").isNull(), "missing_corpus")
+    told = rows.withColumn("reason", reason).select(*teacher.columns, "reason").withColumn("origin", F.lit("teacher"))
+    return hard.withColumns({"reason": F.lit(None).cast("string"), "origin": F.lit("hard")}).unionByName(told, allowMissingColumns=True)
+
+
+def order_violations(rows: DataFrame, wanted: DataFrame, key: str, place: str) -> DataFrame:
+    """``place, wanted, found`` where the keys of two sequences differ, and where one ends early."""
+    a, b = wanted.select(F.col(place).alias("place"), F.col(key).alias("wanted")), rows.select(F.col(place).alias("place"), F.col(key).alias("found"))
+    return a.join(b, "place", "full_outer").where(~F.equal_null("wanted", "found"))
+
+
+# The states of an entry of an index, and how its name is spelt.
+STATUSES = ("active", "draft", "deprecated")
+ENTRY_ID = "^[a-z0-9]+(-[a-z0-9]+)*$"
+
+
+def index_violations(entries: DataFrame, files: DataFrame, forbidden: list[str] = ()) -> DataFrame:
+    """``id, rule`` for each rule that an entry (``id, status, path, triggers array<string>, body``) breaks: the spelling and
+    uniqueness of its id, its status, that its triggers are a list of non-empty strings, that its path is among ``files``
+    (``path``), and that its text holds none of the ``forbidden`` phrases."""
+    twice = entries.groupBy("id").agg((F.count("*") > 1).alias("_twice"))
+    there = files.select("path").distinct().withColumn("_there", F.lit(True))
+    rows = entries.join(twice.where("_twice"), "id", "left").join(there, "path", "left")
+    body = F.lower(F.coalesce("body", F.lit("")))
+    holds = F.lit(False)
+    for phrase in forbidden:
+        holds = holds | F.contains(body, F.lit(phrase.lower()))
+    bad = {
+        "id": ~F.coalesce(F.col("id").rlike(ENTRY_ID), F.lit(False)), "unique": F.coalesce("_twice", F.lit(False)), "status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)),
+        "triggers": F.coalesce(F.size("triggers") < 1, F.lit(True)) | F.coalesce(F.exists("triggers", lambda t: F.trim(F.coalesce(t, F.lit(""))) == ""), F.lit(True)),
+        "path": F.col("_there").isNull(), "forbidden": holds}
+    broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in bad.items()]), lambda r: r.isNotNull())
+    return rows.select("id", F.explode(broken).alias("rule"))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import ratio
+from quillstone.operators.store import durable
 
 
 def confusion(rows: DataFrame, predicted: Column, label: str = "label", by: list[str] | None = None) -> DataFrame:
@@ -74,8 +75,8 @@ def running(rows: DataFrame, value: str, sums: dict[str, str], descending: bool
 def ranking(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """Exact ROC AUC and average precision; null unless both classes are there.
 
-    Equal scores are merged first; running counts are made by ranges of scores."""
-    ties = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
+    Equal scores are merged first, once; running counts are made by ranges of scores."""
+    ties = durable(rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n")))
     run = running(ties, score, {"tp": "p", "fp": "n"}, descending=True)
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -85,7 +86,7 @@ def ranking(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
 
 def _counted(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their count ``c`` and running count ``upto``, and the total ``n``."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    counts = durable(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c")))
     return running(counts, "value", {"upto": "c"}), counts.agg(F.sum("c").alias("n"))
 
 

@@ -51,6 +51,36 @@ def pattern_slices(rows: DataFrame, text: str, score: str, slices: dict[str, tup
     return rows.withColumn("slice", F.explode(within))
 
 
+def quoted_slice(rows: DataFrame, text: str, score: str, label: str, least: float = 0.25, wanted: str = "quoted_or_pasted_context") -> DataFrame:
+    """Rows that quote something and score high, or that the teacher (``label``) calls quoted."""
+    return rows.where(F.coalesce(F.col(text).rlike(QUOTED), F.lit(False)) & (F.coalesce(F.col(score) >= least, F.lit(False)) | F.equal_null(F.col(label), F.lit(wanted)))).withColumn("slice", F.lit("quoted_context_hard_negatives"))
+
+
+#: A slice's rows by distance to the threshold; two slices in an order of their own.
+THRESHOLD = 0.675
+
+
+def slice_order(name: str, score: Column) -> list[Column]:
+    """How the rows of a slice are ranked."""
+    if name == "agent_control_low_mid":
+        return [score >= 0.30, F.abs(score - 0.30)]
+    if name == "method_tool_low_miss":
+        return [score >= 0.35, -score]
+    return [F.abs(score - THRESHOLD)]
+
+
+def ranked_slices(rows: DataFrame, key: str, text: str, score: str, label: str, n: int) -> DataFrame:
+    """The first n rows of every slice with their ``rank`` in its order; ties by key."""
+    own = pattern_slices(rows, text, score).unionByName(quoted_slice(rows, text, score, label))
+    orders = {name: slice_order(name, F.col(score)) for name in (*SLICES, "quoted_context_hard_negatives")}
+    places = [F.lit(None).cast("double"), F.lit(None).cast("double")]
+    for name, order in orders.items():
+        here = F.col("slice") == name
+        places = [F.when(here, (order[i] if i < len(order) else F.lit(0.0)).cast("double")).otherwise(p) for i, p in enumerate(places)]
+    nth = F.row_number().over(Window.partitionBy("slice").orderBy(*places, key))
+    return own.withColumn("rank", nth).where(F.col("rank") <= n)
+
+
 def source_balanced(rows: DataFrame, source: str, names: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows in turns of the named sources and, last, all others together."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.lower(source)), F.lit(0))
@@ -190,7 +220,7 @@ def turns_since_run(turns: DataFrame, key: str, order: str, ran: str) -> DataFra
 
 
 def minutes_since_previous(runs: DataFrame, key: str, ts: str) -> DataFrame:
-    """``minutes`` since the run before of the same key, null for the first."""
+    """``minutes`` since the run before of the same key, null for the first; rows of one time in the order of ``event_id``."""
     before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, "event_id"))
     return runs.withColumn("minutes", (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 60)
 

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text
+from quillstone.operators.store import summed
 
 # The version that keys are hashed with, and words that carry no meaning.
 VERSION = "repetition-pressure-v2"
@@ -125,16 +126,6 @@ def batch(events: DataFrame, seq: str, settings: Settings = Settings()) -> DataF
     return rows.mapInPandas(run, RESULT)
 
 
-def _sequence(rows: DataFrame, key: str, value: str, name: str, chunk: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over the rows of the key up to each in the order of ``seq, event_id``.
-
-    ``chunk`` must not fall in that order.  Sums run within a chunk; chunks' totals, a row for each, run by key."""
-    totals = rows.groupBy(key, chunk).agg(F.sum(value).alias("_n"))
-    before = totals.select(key, chunk, F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(value).over(Window.partitionBy(key, chunk).orderBy("seq", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, within).join(before, [key, chunk]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
-
-
 def _told(rows: DataFrame, settings: Settings) -> DataFrame:
     """Rows with ``first``, the event that each repeats (by its observation or its text), or null for those that count.
 
@@ -178,7 +169,7 @@ def joined(events: DataFrame, seq: str, settings: Settings = Settings()) -> Data
     rows = rows.withColumn("now", F.coalesce("observed_at", "ts")).select("scope", "seq", "event_id", "ts", "now", "prompt_hash", "dup_scope", "observation", "features", "triggered")
     told = _told(rows, settings)
     counts = told.where("first is null").withColumns({"_one": F.lit(1), "_chunk": F.floor("seq")})
-    counts = _sequence(counts, "scope", "_one", "nth", "_chunk").drop("_one", "_chunk").withColumn("_block", F.floor(F.col("nth") / MOST))
+    counts = summed(counts, ["scope"], "_chunk", ["seq", "event_id"], "_one", "nth").drop("_one", "_chunk").withColumn("_block", F.floor(F.col("nth") / MOST))
     earlier = counts.select("scope", F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"), F.col("nth").alias("_nth"), F.col("ts").alias("_ts"), F.col("event_id").alias("_id"), F.col("features").alias("_features"))
     share = text.jaccard(F.col("features"), F.col("_features"))
     near = (F.col("_nth") < F.col("nth")) & (F.col("_nth") >= F.col("nth") - MOST) & (F.col("_ts") >= F.col("now") - settings.window)

@@ -5,6 +5,8 @@ Rows have ``id, label`` (0.0 or 1.0), optionally ``weight``, and ``text`` or ``f
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text
+from quillstone.operators import metrics
 
 
 def with_grams(rows: DataFrame, column: str = "text", words: tuple[int, int] = (1, 2), chars: tuple[int, int] | None = (3, 4)) -> DataFrame:
@@ -41,7 +44,7 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "label").withColumn("weight", total / (2 * F.col("_c"))).drop("_c")  # two rows
 
 
-def fit_text(rows: DataFrame, strength: float = 4.0, size: int = 20_000, kind: str = "logistic", weight: str | None = None) -> PipelineModel:
+def fit_text(rows: DataFrame, strength: float = 4.0, size: int = 40_000, kind: str = "logistic", weight: str | None = None) -> PipelineModel:
     grams = with_grams(rows)
     if kind == "bayes":
         last = NaiveBayes(modelType="complement", smoothing=0.4)
@@ -104,6 +107,36 @@ def leave_groups_out(rows: DataFrame, groups: list[str], fit, score, group: str
     return out
 
 
+def glob_holdout(rows: DataFrame, patterns: list[str], group: str = "label_file") -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: the groups that match a pattern are held out, and with them their records in all other groups."""
+    held = F.lit(False)
+    for p in patterns:
+        held = held | F.col(group).rlike("^" + fnmatch.translate(p))
+    test = rows.where(held)
+    return rows.where(~held).join(test.select("id").distinct(), "id", "left_anti"), test
+
+
+def stacked_out_of_fold(rows: DataFrame, base: dict[str, tuple], folds: int = 3) -> tuple[PipelineModel, DataFrame]:
+    """A stack whose base scores come from models that have not seen the rows: ``base`` maps a name to ``(fit, score)``; rows have
+    ``fold``.  Returns the stack and the scores it was fitted on."""
+    scores = None
+    for name, (fit, score) in base.items():
+        part = out_of_fold(rows, fit, score, folds).withColumnRenamed("score", name)
+        scores = part if scores is None else scores.join(part.drop("label"), "id")
+    return stacked(scores, list(base)), scores
+
+
+def vector_groups_out(rows: DataFrame, groups: list[str], strengths: list[float], thresholds: list[float], floor: float, scaled: bool = False, group: str = "label_file") -> DataFrame:
+    """For each strength: pooled scores of every group under a model of the others, and the best threshold on them."""
+    out = None
+    for c in strengths:
+        pooled = leave_groups_out(rows, groups, lambda train, c=c: fit_vectors(train, c, scaled), vector_scores, group)
+        swept = metrics.sweep(pooled.withColumn("label", F.col("label") == 1), "score", thresholds)
+        best = metrics.best_at_precision(swept, floor).withColumn("strength", F.lit(c))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def stacked(scores: DataFrame, columns: list[str]) -> PipelineModel:
     """A logistic regression over base scores and their least, largest, mean and spread."""
     return Pipeline(stages=[LogisticRegression(regParam=1e-4)]).fit(stack_features(scores, columns))

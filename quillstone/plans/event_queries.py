@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillstone.functions import scalars, text
 from quillstone.operators import events as ops
 from quillstone.plans.tables import EVENTS, TWICE, events, messages, table, twice
+from quillstone.sources import jsonl
 
 QUERIES, ORACLES = {}, {}
+BOARD = ["event_id", "version", "triggered", "ts"]
 LAST_DAY, NOW = "2024-01-30", "2024-01-30 12:00:00"
 TERMS = ["the", "and", "error", "der", "que", "les", "stupid", "trash"]
 
@@ -28,13 +30,13 @@ def query(oracle: str | None = None):
   CAST(count(*) FILTER (triggered) AS DOUBLE) / count(*) AS rate, arg_min(ts, event_id) AS first_ts, arg_max(ts, event_id) AS last_ts, min(event_id) AS first_seen
   FROM one GROUP BY version""")
 def scoreboard_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.scoreboard(ops.collapsed(twice(events(spark, sf_dir))))
+    return ops.scoreboard(ops.collapsed(twice(events(spark, sf_dir)), columns=BOARD))
 
 
 @query(f"""WITH {TWICE} SELECT version, count(*) AS messages, CAST(count(*) FILTER (triggered) AS DOUBLE) / count(*) AS rate
   FROM one GROUP BY version HAVING count(*) >= 5 ORDER BY rate, min(event_id) LIMIT 1""")
 def best_version_min5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.best_version(ops.scoreboard(ops.collapsed(twice(events(spark, sf_dir))))).select("version", "messages", "rate")
+    return ops.best_version(ops.scoreboard(ops.collapsed(twice(events(spark, sf_dir)), columns=BOARD))).select("version", "messages", "rate")
 
 
 @query(f"""WITH {EVENTS} SELECT count(*) AS total, count(*) FILTER (triggered) AS woke, count(*) FILTER (NOT triggered AND review_triggered) AS review_only,
@@ -83,7 +85,7 @@ def usage_argmax_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TWICE} SELECT event_id, session_id, snippet, source FROM one""")
 def dedup_first_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.collapsed(twice(events(spark, sf_dir))).select("event_id", "session_id", "snippet", "source")
+    return ops.collapsed(twice(events(spark, sf_dir)), columns=["event_id", "session_id", "snippet", "source"])
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, role FROM ev WHERE coalesce(role, '') IN ('', 'user')""")
@@ -110,12 +112,16 @@ def session_meta_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id AS file, max(turn + 1) AS line, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id""")
 def last_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).where("role = 'user'").groupBy("file").agg(F.max("line").alias("line"), F.max_by("text", "line").alias("text"))
+    rows = messages(spark, sf_dir).where("role = 'user'").withColumnRenamed("file", "path")
+    return jsonl.last_message(rows).select(F.col("path").alias("file"), "line", "text")
 
 
 @query("""SELECT conv_id AS file, arg_min(role, turn) AS first_role, min(turn + 1) AS first_line FROM conversations GROUP BY conv_id""")
 def session_meta_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).groupBy("file").agg(F.min_by("role", "line").alias("first_role"), F.min("line").alias("first_line"))
+    m = messages(spark, sf_dir)
+    kind = F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("role").alias("id"), F.col("line").cast("string").alias("cwd")).alias("payload"))
+    rows = jsonl.lenient(m.select(F.col("file").alias("path"), "line", F.to_json(kind).alias("value")))
+    return jsonl.first_session(rows).select(F.col("path").alias("file"), F.col("session_id").alias("first_role"), F.col("cwd").cast("bigint").alias("first_line"))
 
 
 @query("""SELECT conv_id AS file, turn + 1 AS line, text FROM conversations WHERE role = 'user' AND turn >= 2 ORDER BY conv_id DESC, turn LIMIT 50""")
@@ -195,17 +201,15 @@ def retry_with_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.retries(e).select("event_id", "attempts")
 
 
-@query(f"""WITH {EVENTS} SELECT session_id AS run, count(*) AS runs, CAST(sum(k) AS BIGINT) AS events, count(*) FILTER (k % 4 = 0) AS dry_runs FROM ev GROUP BY session_id""")
+@query(f"""WITH {EVENTS} SELECT session_id AS run, count(*) AS runs, CAST(sum(k) AS BIGINT) AS events, count(*) FILTER (k % 4 = 0) AS dry_runs, list(event_id ORDER BY event_id DESC)[1:4] AS last_runs FROM ev GROUP BY session_id""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumns({"event_count": F.col("k"), "dry_run": F.col("k") % 4 == 0})
-    return e.groupBy(F.col("session_id").alias("run")).agg(F.count("*").alias("runs"), F.sum("event_count").alias("events"), F.count_if("dry_run").alias("dry_runs"))
+    e = events(spark, sf_dir).select(F.col("session_id").alias("run"), "event_id", F.col("k").alias("event_count"), (F.col("k") % 4 == 0).alias("dry_run"))
+    return ops.run_summary(e, "event_id", ["run"])
 
 
-@query(f"""WITH {EVENTS} SELECT count(*) AS raw, (SELECT count(*) FROM ev WHERE coalesce(role, '') IN ('', 'user')) AS direct, count(*) FILTER (score IS NOT NULL) AS scored,
-  count(DISTINCT version) AS versions, max(score >= 0.4) AS any_sensitive FROM ev""")
+@query(f"""WITH {EVENTS}, d AS (SELECT *, coalesce(role, '') IN ('', 'user') AS direct FROM ev)
+  SELECT count(*) AS raw, count(*) FILTER (direct) AS direct, count(*) FILTER (direct AND triggered) AS triggered, count(*) FILTER (score IS NOT NULL) AS scored, count(*) FILTER (k % 3 = 0) AS shadow_scored,
+  count(DISTINCT version) AS versions, max(score >= 0.4) AS any_reaches_floor, (SELECT list_sort(list(DISTINCT event_type)) FROM ev WHERE k % 3 = 0) AS models FROM d""")
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return e.agg(
-        F.count("*").alias("raw"), F.count_if(F.coalesce("role", F.lit("")).isin("", "user")).alias("direct"), F.count("score").alias("scored"),
-        F.countDistinct("version").alias("versions"), F.max(F.col("score") >= 0.4).alias("any_sensitive"),
-    )
+    e = events(spark, sf_dir).withColumn("alternates", F.when(F.col("k") % 3 == 0, F.create_map("event_type", "score")))
+    return ops.status_summary(e)

@@ -154,7 +154,7 @@ def priority_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORED} SELECT id, CASE WHEN a >= 0.2 AND a < 0.4 THEN 'low' WHEN a >= 0.4 AND a < 0.675 THEN 'mid' WHEN a >= 0.675 THEN 'high' END AS band FROM scored WHERE a >= 0.2""")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
-    band = F.when((a >= 0.2) & (a < 0.4), "low").when((a >= 0.4) & (a < 0.675), "mid").when(a >= 0.675, "high")
+    band = ops.bands(a, [("low", 0.2, 0.4), ("mid", 0.4, 0.675), ("high", 0.675, float("inf"))])
     return scored(spark, sf_dir).select("id", band.alias("band")).where("band is not null")
 
 
@@ -359,3 +359,25 @@ def weak_categories_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.matched_words(t, ["the"]).alias("m"), text.weak_categories(t).alias("categories"))
     return rows.select("doc_id", "categories", text.weak_label(F.col("categories"), F.col("m")).alias("weak_label"))
+
+
+@query(f"""WITH {VOTES}, hard AS (SELECT * FROM votes WHERE label_file = 'c' AND error IS NULL), held AS (SELECT DISTINCT record_id FROM votes WHERE label_file = 'b' AND record_id % 10 = 0),
+  told AS (SELECT v.*, CASE WHEN error IS NOT NULL THEN 'error' WHEN record_id IN (SELECT record_id FROM held) THEN 'holdout' WHEN record_id IN (SELECT record_id FROM hard) THEN 'hard_label'
+    WHEN record_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr') THEN 'missing_corpus' END AS reason FROM votes v WHERE label_file = 'a')
+  SELECT origin, reason, count(*) AS n FROM (SELECT 'hard' AS origin, NULL AS reason FROM hard UNION ALL SELECT 'teacher', reason FROM told) GROUP BY ALL""")
+def student_label_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = votes(spark, sf_dir)
+    hard = v.where("label_file = 'c' and error is null")
+    held = v.where("label_file = 'b' and record_id % 10 = 0").select("record_id")
+    rows = ops.student_labels(hard, v.where("label_file = 'a'"), corpus(spark, sf_dir).where("lang <> 'fr'"), held)
+    return rows.groupBy("origin", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS path, lang, text FROM documents)
+  SELECT id, unnest(list_filter(['status', 'triggers', 'path', 'forbidden'], lambda r: CASE r WHEN 'status' THEN lang NOT IN ('active', 'draft', 'deprecated') WHEN 'triggers' THEN coalesce(trim(left(text, 1)), '') = ''
+    WHEN 'path' THEN path = 'src1' ELSE contains(lower(text), 'the th') END)) AS rule FROM e""")
+def index_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of an index: the language is the status, which none of the known ones is."""
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("status"), F.col("source").alias("path"), F.array(F.substring("text", 1, 1)).alias("triggers"), F.col("text").alias("body"))
+    return ops.index_violations(entries, docs.where("source <> 'src1'").select(F.col("source").alias("path")).distinct(), ["the TH"])

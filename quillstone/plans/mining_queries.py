@@ -117,6 +117,20 @@ def pattern_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.pattern_slices(d, "body", "score").select("id", "slice")
 
 
+_ORDERS = "CASE slice WHEN 'agent_control_low_mid' THEN CAST(score >= 0.30 AS INT) WHEN 'method_tool_low_miss' THEN CAST(score >= 0.35 AS INT) ELSE abs(score - 0.675) END, CASE slice WHEN 'agent_control_low_mid' THEN abs(score - 0.30) WHEN 'method_tool_low_miss' THEN -score ELSE 0 END, id"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_OPENED} || ' ' || coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '> quoted' ELSE '' END AS body, CAST(doc_id % 100 AS DOUBLE) / 100 AS score FROM documents), s AS (" + " UNION ALL ".join(_slice_sql(n) for n in mining.SLICES)
+       + f" UNION ALL SELECT doc_id, 'quoted_context_hard_negatives' FROM d WHERE regexp_matches(body, '{_sql(mining.QUOTED)}') AND (score >= 0.25 OR doc_id % 5 = 0)"
+       + f"), r AS (SELECT s.id, slice, score FROM s JOIN d ON d.doc_id = s.id) SELECT id, slice, CAST(row_number() OVER (PARTITION BY slice ORDER BY {_ORDERS}) AS INT) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY slice ORDER BY {_ORDERS}) <= 40")
+def ranked_pattern_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % 7).cast("int"))
+    body = F.concat(F.concat_ws(" ", F.coalesce(opening, F.lit("")), F.coalesce("text", F.lit(""))), F.when(F.col("doc_id") % 9 == 0, "\n> quoted").otherwise(""))
+    label = F.when(F.col("doc_id") % 5 == 0, "quoted_or_pasted_context")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), body.alias("body"), ((F.col("doc_id") % 100).cast("double") / 100).alias("score"), label.alias("teacher"))
+    return mining.ranked_slices(d, "id", "body", "score", "teacher", 40).select("id", "slice", "rank")
+
+
 @query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY 1")
 def dataset_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mix(table(spark, sf_dir, "documents"), "source")

@@ -56,8 +56,9 @@ def char_trigrams_within_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS version, count(*) AS n, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS building
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def version_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(F.col("o_orderpriority").alias("version")).agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("version"), F.col("c_mktsegment").alias("subject"))
+    told = label_ops.with_subject(table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("version")), subjects, "version", "subject")
+    return told.groupBy(F.col("o_orderpriority").alias("version")).agg(F.count("*").alias("n"), F.count_if(F.col("subject") == "BUILDING").alias("building"))
 
 
 STOPPED = ", ".join(f"'{w}'" for w in repetition.STOPWORDS)
@@ -110,7 +111,7 @@ def centroid_difference_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_metrics(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = _training(spark, sf_dir)
-    model = training.fit_text(rows.where("fold <> 0"), size=2000, kind=kind)
+    model = training.fit_text(rows.where("fold <> 0"), kind=kind)
     found = training.text_scores(model, rows.where("fold = 0"))
     return metrics.ranking(found.withColumn("label", F.col("label") == 1), "score")
 

@@ -113,12 +113,22 @@ def claude_messages(rows: DataFrame) -> DataFrame:
     return found.where(~text.is_corpus_control(F.col("text"))).select(F.lit("claude").alias("source"), "path", "line", get("$.timestamp").alias("timestamp"), get("$.sessionId").alias("session_id"), get("$.cwd").alias("cwd"), "text")
 
 
-def assistant_turns(rows: DataFrame, low: int = 12, high: int = 1200, limit: int = 10_000) -> DataFrame:
-    """Distinct assistant texts of a length, short ones first."""
-    t = F.btrim(F.coalesce(F.nullif(content("$.payload.content"), F.lit("")), content("$.message.content")))
-    role = F.coalesce(get("$.payload.role"), get("$.message.role"))
-    found = lenient(rows).where(role == "assistant").select(t.alias("text")).where(F.length("text").between(low, high)).distinct()
-    return found.orderBy(F.length("text") > 500, F.length("text"), "text").limit(limit)
+def assistant_turns(rows: DataFrame, low: int = 12, high: int = 1200, limit: int = 10_000, exclude: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Distinct assistant texts of a length, short ones first; equal lengths in the order of their first place.
+
+    ``exclude``: a pattern (without regard to case) whose texts go, as do those that look like records or signatures.
+    ``files``: only these files' rows (``path``; the newest of each root, say)."""
+    if files is not None:
+        rows = rows.join(files.select("path"), "path", "left_semi")
+    t = text.compact(F.coalesce(F.nullif(content("$.payload.content"), F.lit("")), content("$.message.content")))
+    payload = (get("$.type") == "response_item") & (get("$.payload.type") == "message") & (get("$.payload.role") == "assistant")
+    message = (get("$.type") == "assistant") & (get("$.message.role") == "assistant")
+    found = lenient(rows).where(payload | message).select(t.alias("text"), "path", "line").where(F.length("text").between(low, high))
+    found = found.where(~F.startswith("text", F.lit("{")) & ~F.contains(F.substring("text", 1, 200), F.lit("signature")))
+    if exclude:
+        found = found.where(~F.col("text").rlike("(?iU)" + exclude))
+    first = found.groupBy("text").agg(F.min(F.struct("path", "line")).alias("_at"))
+    return first.orderBy(F.length("text") > 500, F.length("text"), "_at").limit(limit).select("text")
 
 
 def points(rows: DataFrame, events: DataFrame) -> DataFrame:

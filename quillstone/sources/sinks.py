@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,11 @@ def append(rows: DataFrame, path: str) -> None:
 
 def replace(rows: DataFrame, path: str, backup: str | None = None) -> None:
     """Writes beside the target and swaps the folders by renaming: a failed job leaves the target as it
-    was.  With ``backup`` the former target is kept there, else deleted.  Rows may come from the target."""
+    was.  With ``backup`` the former target is kept there, else deleted.  Rows may come from the target.
+
+    A run that ended between the two renames has left no target; ``restored`` (also called here) brings it back."""
     new, old = f"{path}.new", backup or f"{path}.old"
+    restored(rows.sparkSession, path)
     rows.write.mode("overwrite").json(new)
     hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs
     here, there, source = hadoop.Path(path), hadoop.Path(old), hadoop.Path(new)
@@ -31,13 +34,28 @@ def replace(rows: DataFrame, path: str, backup: str | None = None) -> None:
         files.delete(there, True)
 
 
+def restored(spark: SparkSession, path: str) -> bool:
+    """After a swap that was cut off: the complete new folder takes the target's place, or else the old one returns to it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here, done = hadoop.Path(path), hadoop.Path(f"{path}.new/_SUCCESS")
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(here):
+        return False
+    for kept in ([f"{path}.new"] if files.exists(done) else []) + [f"{path}.old"]:
+        if files.exists(hadoop.Path(kept)):
+            return files.rename(hadoop.Path(kept), here)
+    return False
+
+
 def report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A Markdown table of at most ``most`` rows, in their order, as one text file."""
+    """A Markdown table of at most ``most`` rows, in their order, as one text file; a last line says so if there are more."""
     def cell(v) -> str:
         return "" if v is None else f"{v:.4f}" if isinstance(v, float) else " ".join(str(v).split()).replace("|", "\\|")
 
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(most).collect()]
+    shown = rows.limit(most + 1).collect()
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in shown[:most]]
+    lines += ["", f"The first {most} rows; there are more."] if len(shown) > most else []
     text = rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string")
     text.coalesce(1).write.mode("overwrite").text(path)
 
@@ -56,9 +74,26 @@ def labelled_text(rows: DataFrame, path: str, label: str = "label", text: str =
     rows.select(F.concat(F.lit("__label__"), F.col(label).cast("string"), F.lit(" "), F.regexp_replace(text, r"\s+", " "))).write.mode("overwrite").text(path)
 
 
-def run_record(rows: DataFrame, path: str, run_id: str) -> None:
-    """A run's result under its own folder."""
+def run_record(rows: DataFrame, path: str, run_id: str, summary: DataFrame | None = None, title: str = "Run") -> None:
+    """A run's result under its own folder, with a summary's table beside it under ``summaries``."""
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    if summary is not None:
+        report(summary, f"{path}.summaries/run_id={run_id}", f"{title} {run_id}")
+
+
+def label_folder(labels: DataFrame, path: str) -> DataFrame:
+    """Writes the rows that ``labels.student_labels`` keeps, a folder for each label file, and returns the counters
+    ``origin, reason, n`` of all rows, taken in the same pass."""
+    from pyspark.sql import Observation
+
+    seen = Observation("labels")
+    reasons = ("error", "holdout", "hard_label", "missing_corpus")
+    hard = F.col("origin") == "hard"
+    counts = {"hard": F.count_if(hard), "teacher": F.count_if(~hard & F.col("reason").isNull()), **{r: F.count_if(F.col("reason") == r) for r in reasons}}
+    labels.observe(seen, *[c.alias(n) for n, c in counts.items()]).where("reason is null").drop("reason").write.mode("overwrite").partitionBy("label_file").json(path)
+    found = seen.get
+    rows = [("hard", None, found["hard"]), ("teacher", None, found["teacher"]), *[("teacher", r, found[r]) for r in reasons]]
+    return labels.sparkSession.createDataFrame([r for r in rows if r[2]], "origin string, reason string, n long")
 
 
 def model(weights: DataFrame, path: str) -> None:

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillstone.functions import text
+from quillstone.functions import scalars, text
 from quillstone.operators import repetition
+from quillstone.sources import sinks
 
 
 def transcript_lines(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
@@ -84,6 +85,17 @@ def cooled(events: DataFrame, key: str = "session_id", seconds: int = 60) -> Dat
     return events.groupBy(key).applyInPandasWithState(gate, f"{key} string, n int, event_ids array<string>", "last double, waiting array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def dashboard(events: DataFrame, path: str, checkpoint: str, title: str = "Scoreboard", available_now: bool = False):
+    """The scoreboard of all events so far as a Markdown file that every micro-batch writes anew."""
+    board = events.groupBy("version").agg(F.count("*").alias("messages"), F.count_if("triggered").alias("triggers"))
+
+    def render(batch: DataFrame, _: int) -> None:
+        sinks.report(batch.withColumn("rate", scalars.ratio(F.col("triggers"), F.col("messages"))).orderBy("version"), path, title)
+
+    writer = board.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(render)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+
+
 def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", idle_batches: bool = True) -> None:
     """Runs a stream over all that is there and stops (a scheduled batch).  Streams whose state has
     processing-time timeouts ask for batches without data for ever; run them without such."""
