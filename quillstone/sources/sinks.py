@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.store import durable
+
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
@@ -61,12 +63,9 @@ def report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
 
 
 def counted(rows: DataFrame, path: str) -> int:
-    """Writes and returns how many rows went out, in one pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation("written")
-    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
-    return seen.get["n"]
+    """Writes and returns how many rows went out, by counting the written lines: the rows themselves are made once."""
+    rows.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.text(path).count()
 
 
 def labelled_text(rows: DataFrame, path: str, label: str = "label", text: str = "text") -> None:
@@ -83,17 +82,10 @@ def run_record(rows: DataFrame, path: str, run_id: str, summary: DataFrame | Non
 
 def label_folder(labels: DataFrame, path: str) -> DataFrame:
     """Writes the rows that ``labels.student_labels`` keeps, a folder for each label file, and returns the counters
-    ``origin, reason, n`` of all rows, taken in the same pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation("labels")
-    reasons = ("error", "holdout", "hard_label", "missing_corpus")
-    hard = F.col("origin") == "hard"
-    counts = {"hard": F.count_if(hard), "teacher": F.count_if(~hard & F.col("reason").isNull()), **{r: F.count_if(F.col("reason") == r) for r in reasons}}
-    labels.observe(seen, *[c.alias(n) for n, c in counts.items()]).where("reason is null").drop("reason").write.mode("overwrite").partitionBy("label_file").json(path)
-    found = seen.get
-    rows = [("hard", None, found["hard"]), ("teacher", None, found["teacher"]), *[("teacher", r, found[r]) for r in reasons]]
-    return labels.sparkSession.createDataFrame([r for r in rows if r[2]], "origin string, reason string, n long")
+    ``origin, reason, n`` of all rows; these are made once."""
+    told = durable(labels)
+    told.where("reason is null").drop("reason").write.mode("overwrite").partitionBy("label_file").json(path)
+    return told.groupBy("origin", "reason").agg(F.count("*").alias("n"))
 
 
 def model(weights: DataFrame, path: str) -> None:
