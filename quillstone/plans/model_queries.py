@@ -103,10 +103,20 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_ops.stratified_folds(corpus(spark, sf_dir).select("id", "text").join(labels, "id"), "id", "label", 4)
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id AS id, text, quality = 1 AS y FROM documents JOIN labels USING (doc_id)),
+  tok AS (SELECT id, y, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')) AS term FROM d),
+  c AS (SELECT id, y, term, count(*) AS n FROM tok GROUP BY ALL),
+  f AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM c GROUP BY term),
+  v AS (SELECT id, y, term, idf, (1 + ln(n)) * idf AS v FROM c JOIN f USING (term)),
+  w AS (SELECT y, term, idf, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM v),
+  k AS (SELECT greatest(count(*) FILTER (y), 1) AS p, greatest(count(*) FILTER (NOT y), 1) AS m FROM (SELECT DISTINCT id, y FROM tok)),
+  s AS (SELECT term, any_value(idf) AS idf, coalesce(sum(v) FILTER (y), 0) / any_value(p) - coalesce(sum(v) FILTER (NOT y), 0) / any_value(m) AS diff FROM w, k GROUP BY term)
+  SELECT 'word' AS section, term, round(idf, 6) AS idf, round(diff * 52.0, 6) AS coef FROM s WHERE abs(diff) >= 2e-5""")
 def centroid_difference_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms whose difference reaches the least one."""
     docs = _training(spark, sf_dir).withColumn("label", F.col("label") == 1)
-    return scoring.centroid_model(docs, "id", "label", scoring.word_section(), "word", 2000, 52.0)
+    found = scoring.centroid_model(docs, "id", "label", scoring.word_section(), "word", 1 << 30, 52.0)
+    return found.withColumns({"idf": F.round("idf", 6), "coef": F.round("coef", 6)})
 
 
 def _text_metrics(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
