@@ -11,8 +11,10 @@ additional bits of a coefficient of category 8 (-255..-128, 128..255), 64 bytes
 and six blocks one unit of a 4:2:0 image (four Y, one Cb, one Cr), zeros filling the last one.  A
 first pass of scans carries the upper bits, a second refines them.  A comment holds the length.
 
-Cases of the operators: null text is empty and has a payload of 64 zeros; equal texts give equal
-files, tensors and features; an empty table gives an empty result; other columns are not read.
+Cases of the operators: null text is empty and has a payload of 64 zeros; null ids stay null; equal
+texts give equal files, tensors and features; a text of any length is one file, one task holding its
+coefficients (two bytes a byte) and tensor (two bytes a byte, three channels) at a time; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

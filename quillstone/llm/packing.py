@@ -9,8 +9,9 @@ ones, cutting freely, until at most one window is short; that one is dealt out a
 lengths are powers of two, which need no padding.  Memory is bounded by ``open_ids`` and a batch.
 
 Cases: null or empty text has no ids of its own and yields one piece holding the end id; repeated
-rows and repeated ids are packed like any others; an empty table gives an empty result; other
-columns are not read.
+rows and repeated or null ids are packed like any others; a text of any length is tokenised as one and
+cut freely, one task holding its ids (four bytes each) at a time; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

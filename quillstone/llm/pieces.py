@@ -14,7 +14,8 @@ for a row wherever and whenever it is read.
 Decoding joins the bytes of the pieces, and gives back every text exactly.
 
 Cases: null text is empty and has no pieces; a null key counts as its own key; repeated rows get
-the same pieces; an empty table gives an empty result; other columns are not read.
+the same pieces; a text of any length is one row, whose parts are filtered in groups, but whose pieces
+are held together; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ at once: a prefix is a shard if it fits and the one a bit shorter doesn't.  A si
 
 Cases: null text counts no bytes and a null key hashes like an empty one; a row larger than the
 limit ends alone in its shard (or with rows of no bytes); repeated rows are told apart by their
-place; an empty table gives an empty result; other columns are not read.
+place, so which of them share a shard depends on the table's partitioning, while distinct keys do not
+depend on it; lengths are all that is read of texts of any size; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
