@@ -35,6 +35,27 @@ def timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def timestamp_or(text: Column, now: Column) -> Column:
+    """The time that a text states, or else the run's."""
+    return F.coalesce(timestamp(text), now)
+
+
+def iso(ts: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC to the second, with its offset (the session's zone must be UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def minutes_since(ts: Column, now: Column) -> Column:
+    """Minutes from a time to now; null without it."""
+    return (now.cast("timestamp").cast("double") - ts.cast("timestamp").cast("double")) / 60
+
+
+def age(minutes: Column) -> Column:
+    """An age in words: minutes up to two hours, hours up to two days, days beyond; ``never`` for a null."""
+    whole = F.floor(minutes)
+    return F.when(minutes.isNull(), "never").when(minutes < 120, F.concat(whole.cast("string"), F.lit("m ago"))).when(minutes < 2880, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+
+
 def finite(text: Column) -> Column:
     """A finite double, else null."""
     x = text.try_cast("double")

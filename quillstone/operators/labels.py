@@ -52,6 +52,20 @@ def teacher_mean(labels: DataFrame) -> DataFrame:
     return labels.groupBy("record_id").agg(F.avg(p).alias("teacher"), F.count("*").alias("n"))
 
 
+def teacher_scores(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """``record_id, teacher, origin``: the mean probability of a record's labels where it has any, else of its scores
+    (``record_id, score``), each within [0.01, 0.99]."""
+    told = teacher_mean(labels).select("record_id", F.col("teacher").alias("_label"))
+    given = scores.where("score is not null").groupBy("record_id").agg(F.avg(scalars.clamp(F.col("score"))).alias("_score"))
+    both = told.join(given, "record_id", "full_outer")
+    return both.select("record_id", F.coalesce("_label", "_score").alias("teacher"), F.when(F.col("_label").isNotNull(), "labels").otherwise("scores").alias("origin"))
+
+
+def scored_labels(scores: DataFrame, labels: DataFrame, least_confidence: float = 0.0) -> DataFrame:
+    """``id, score, label``: scores (``id, score``) of the records that clean labels decide on."""
+    return labelled(scores, clean(labels, least_confidence)).select("id", "score", "label")
+
+
 def soft_copies(teacher: DataFrame, weight: float) -> DataFrame:
     """Each record as a positive and a negative example, weighted by its probability."""
     pairs = F.array(F.struct(F.lit(1).alias("y"), (F.col("teacher") * weight).alias("w")), F.struct(F.lit(0).alias("y"), ((1 - F.col("teacher")) * weight).alias("w")))
@@ -132,6 +146,11 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
 CLAIMED = 100_000
 
 
+def seeded_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows of a shuffle that the seed decides: in the order of the hash of seed and key."""
+    return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
+
+
 def slices(rows: DataFrame, key: str, parts: list[tuple[str, Column, list[Column], int]]) -> DataFrame:
     """Priority slices: each takes its first rows among those that no slice before it has taken.
 

@@ -213,3 +213,13 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("alternates", F.when(F.col("k") % 3 == 0, F.create_map("event_type", "score")))
     return ops.status_summary(e)
+
+
+@query(f"""WITH {EVENTS}, t AS (SELECT event_id, date_trunc('second', ts) AS whole, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(date_trunc('second', ts))) / 60000000.0 AS m FROM ev)
+  SELECT event_id, strftime(whole, '%Y-%m-%dT%H:%M:%S+00:00') AS written, round(m, 6) AS minutes, CASE WHEN m < 120 THEN CAST(floor(m) AS BIGINT) || 'm ago' WHEN m < 2880 THEN CAST(floor(m / 60) AS BIGINT) || 'h ago' ELSE CAST(floor(m / 1440) AS BIGINT) || 'd ago' END AS age FROM t""")
+def written_times_and_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as text, read again, and their age at a fixed moment."""
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    rows = events(spark, sf_dir).select("event_id", scalars.iso(F.col("ts").cast("timestamp")).alias("written"))
+    minutes = scalars.minutes_since(scalars.timestamp_or(F.col("written"), now), now)
+    return rows.select("event_id", "written", F.round(minutes, 6).alias("minutes"), scalars.age(minutes).alias("age"))

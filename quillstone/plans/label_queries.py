@@ -381,3 +381,22 @@ def index_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     entries = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("status"), F.col("source").alias("path"), F.array(F.substring("text", 1, 1)).alias("triggers"), F.col("text").alias("body"))
     return ops.index_violations(entries, docs.where("source <> 'src1'").select(F.col("source").alias("path")).distinct(), ["the TH"])
+
+
+@query(f"""WITH {VOTES}, {SCORED}, t AS (SELECT record_id, avg(greatest(0.01, least(0.99, CASE WHEN should_wake THEN confidence ELSE 1 - confidence END))) AS l FROM votes WHERE record_id % 2 = 1 GROUP BY 1)
+  SELECT coalesce(record_id, id) AS record_id, round(coalesce(l, greatest(0.01, least(0.99, a))), 9) AS teacher, CASE WHEN l IS NULL THEN 'scores' ELSE 'labels' END AS origin FROM t FULL JOIN scored ON id = record_id""")
+def teacher_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of odd records stand before scores."""
+    scores = scored(spark, sf_dir).select(F.col("id").alias("record_id"), F.col("a").alias("score"))
+    return ops.teacher_scores(scores, votes(spark, sf_dir).where("record_id % 2 = 1")).withColumn("teacher", F.round("teacher", 9))
+
+
+@query(f"""WITH {VOTES}, {SCORED}, m AS (SELECT record_id, count(*) FILTER (should_wake) >= count(*) FILTER (NOT should_wake) AS label FROM votes WHERE error IS NULL AND confidence >= 0.6 GROUP BY 1)
+  SELECT id, a AS score, m.label FROM scored JOIN m ON record_id = id""")
+def scores_of_clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.scored_labels(scored(spark, sf_dir).select("id", F.col("a").alias("score")), votes(spark, sf_dir), 0.6)
+
+
+@query("SELECT doc_id AS id FROM documents ORDER BY sha256('17:' || doc_id), doc_id LIMIT 100")
+def seeded_order_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.seeded_sample(corpus(spark, sf_dir).select("id"), "id", 17, 100)
