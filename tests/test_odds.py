@@ -128,7 +128,7 @@ def test_sums_in_chunks(spark):
 def examples(spark):
     rng = random.Random(2)
     rows = [(f"r{i}", float(y := i % 3 == 0), i % 3 if i % 2 else (i + 1) % 3, f"file-{i % 4}", " ".join(rng.choices("alpha beta gamma delta".split(), k=8) + (["wrong", "broken"] if y and rng.random() < 0.8 else ["fine"]))) for i in range(90)]
-    return spark.createDataFrame(rows, "id string, label double, fold int, label_file string, text string")
+    return spark.createDataFrame(rows, "id string, label double, fold int, label_file string, text string").coalesce(1).cache()
 
 
 def auc(scores):

@@ -45,7 +45,7 @@ def corpus(spark):
         docs.append((f"d{i}", [rng.choice("abcdefgh") for _ in range(20)] + [rng.choice("pq" if y else "rs") for _ in range(rng.randint(0, 3))]))
         for name in rng.sample(["one.jsonl", "two.jsonl", "extra-1.jsonl", "extra-2.jsonl"], 2):
             votes.append((f"d{i}", name, y if rng.random() < 0.9 else not y))
-    return spark.createDataFrame(docs, "id string, words array<string>"), spark.createDataFrame(votes, "record_id string, label_file string, should_wake boolean")
+    return spark.createDataFrame(docs, "id string, words array<string>").coalesce(1), spark.createDataFrame(votes, "record_id string, label_file string, should_wake boolean")
 
 
 def alone(spark, docs, votes, setting, test_files, thresholds):
