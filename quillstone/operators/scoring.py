@@ -23,23 +23,26 @@ from quillstone.functions import scalars, text
 SMALL_MODEL = 200_000
 
 
-def counted(docs: DataFrame, key: str, sections: dict[str, Column]) -> DataFrame:
-    """``key, section, term, count`` of the n-grams of every section."""
+def counted(docs: DataFrame, key: str, sections: dict[str, Column], known: dict[str, pa.Array] | None = None) -> DataFrame:
+    """``key, section, term, count`` of the n-grams of every section; with ``known`` only of each section's terms there."""
     names = list(sections)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, name in enumerate(names, 1):
                 grams = batch.column(i)
-                known = grams.flatten().dictionary_encode()
-                n = len(known.dictionary)
+                coded = grams.flatten().dictionary_encode()
+                n = len(coded.dictionary)
                 if not n:
                     continue
-                row = np.repeat(np.arange(len(grams)), pc.fill_null(grams.value_lengths(), 0).to_numpy())
-                pairs, counts = np.unique(row * n + known.indices.to_numpy(), return_counts=True)
+                row, code = np.repeat(np.arange(len(grams)), pc.fill_null(grams.value_lengths(), 0).to_numpy()), coded.indices.to_numpy()
+                if known is not None:
+                    keep = pc.is_in(coded.dictionary, value_set=known.get(name, pa.array([], pa.string()))).to_numpy(zero_copy_only=False)[code]
+                    row, code = row[keep], code[keep]
+                pairs, counts = np.unique(row * n + code, return_counts=True)
                 for a in range(0, len(pairs), 100_000):
                     p = pairs[a : a + 100_000]
-                    columns = [batch.column(0).take(pa.array(p // n)), pa.array([name] * len(p)), known.dictionary.take(pa.array(p % n)), pa.array(counts[a : a + 100_000])]
+                    columns = [batch.column(0).take(pa.array(p // n)), pa.array([name] * len(p)), coded.dictionary.take(pa.array(p % n)), pa.array(counts[a : a + 100_000])]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "section", "term", "count"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -78,7 +81,10 @@ def sized(model: DataFrame, most: int = SMALL_MODEL) -> DataFrame:
 def _matched(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, by: list[str], sublinear: bool) -> DataFrame:
     """``by, parts``: a document's known terms in order, with their normalised share of the score."""
     value = tf(F.col("count"), sublinear) * F.col("idf")
-    known = counted(docs, key, sections).join(sized(model), ["section", "term"]).select(*by, F.struct("section", "term", value.alias("v"), "coef").alias("_t"))
+    terms = model.select("section", "term").limit(SMALL_MODEL + 1).toArrow()  # a small model's terms go along with the tasks
+    small = len(terms) <= SMALL_MODEL
+    known = {name: pc.unique(terms.filter(pc.equal(terms.column("section"), name)).column("term")).cast(pa.string()) for name in sections} if small else None
+    known = counted(docs, key, sections, known).join(F.broadcast(model) if small else model, ["section", "term"]).select(*by, F.struct("section", "term", value.alias("v"), "coef").alias("_t"))
     gathered = known.groupBy(*by).agg(F.array_sort(F.collect_list("_t")).alias("_t"))  # a document's own terms
     norms = {name: F.sqrt(F.aggregate("_t", F.lit(0.0), (lambda name: lambda s, t: s + F.when(t["section"] == name, t["v"] * t["v"]).otherwise(0.0))(name))) for name in sections}
     gathered = gathered.withColumns({f"_n{i}": norm for i, norm in enumerate(norms.values())})
