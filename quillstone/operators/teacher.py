@@ -124,7 +124,7 @@ def labelled(rows: DataFrame, ask: Callable[[list[dict]], object], path: str, ru
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     kind = "record_id string, should_wake boolean, wake_probability double, confidence double, wake_label string, route_label string, reason string, error string, attempts int"
-    done = spark.read.schema(kind).parquet(path) if exists else spark.createDataFrame([], kind)
+    done = spark.read.schema(f"{kind}, run int").parquet(path).where(F.col("run") != run) if exists else spark.createDataFrame([], kind)
     part = f"{path}/run={run}"
-    normalised(asked(open_rows(rows, done.where(F.col("run") != run) if "run" in done.columns else done, id_col), ask, id_col, **options)).write.mode("overwrite").parquet(part)
+    normalised(asked(open_rows(rows, done, id_col), ask, id_col, **options)).write.mode("overwrite").parquet(part)
     return spark.read.schema(kind).parquet(part)
