@@ -1,9 +1,9 @@
 """Sparse n-gram models: term counts, idf, normalised scores, explanations, centroid differences.
 
-A model is a table ``section, term, idf, coef``.  A text's n-grams are counted within its row (in Arrow batches), so
-no pair of document and term is shuffled to be counted; they are then joined to the model, and what
-it knows meets again by document, in one exchange.  The model is broadcast behind a check of its size and joined by a
-shuffle beyond it.  A document is one row: ``key`` is unique.
+A model is a table ``section, term, idf, coef`` with one row for each section and term.  A text's n-grams are counted within its
+row (in Arrow batches), so no pair of document and term is shuffled.  A small model goes along with the tasks.  For a larger one
+documents are packed into blocks of about ``BLOCK`` n-grams: only a block's distinct terms are joined to the model, and what it
+knows of them meets the block's documents again, which are numbers by then.  A document is one row: ``key`` is unique.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars, text
+from quillstone.operators.store import durable
 
+#: N-grams of a block of documents, from which the next one begins.
+BLOCK = 3_000_000
 #: Terms of a model up to which it is broadcast (of some 60 bytes each).
 SMALL_MODEL = 200_000
 
@@ -86,16 +90,22 @@ def _matched(docs: DataFrame, key: str, sections: dict[str, Column], model: Data
     known = {name: pc.unique(terms.filter(pc.equal(terms.column("section"), name)).column("term")).cast(pa.string()) for name in sections} if small else None
     known = counted(docs, key, sections, known).join(F.broadcast(model) if small else model, ["section", "term"]).select(*by, F.struct("section", "term", value.alias("v"), "coef").alias("_t"))
     gathered = known.groupBy(*by).agg(F.array_sort(F.collect_list("_t")).alias("_t"))  # a document's own terms
-    norms = {name: F.sqrt(F.aggregate("_t", F.lit(0.0), (lambda name: lambda s, t: s + F.when(t["section"] == name, t["v"] * t["v"]).otherwise(0.0))(name))) for name in sections}
-    gathered = gathered.withColumns({f"_n{i}": norm for i, norm in enumerate(norms.values())})
 
-    def share(t: Column) -> Column:
-        norm = F.lit(None).cast("double")
-        for i, name in enumerate(sections):
-            norm = F.when(t["section"] == name, F.col(f"_n{i}")).otherwise(norm)
-        return F.struct(t["section"].alias("section"), t["term"].alias("term"), (t["v"] / norm * t["coef"]).alias("contribution"))
+    def norm(t: Column, name: str) -> Column:
+        return F.sqrt(F.aggregate(t, F.lit(0.0), lambda s, c: s + F.when(c["section"] == name, c["v"] * c["v"]).otherwise(0.0)))
 
-    return gathered.select(*by, F.transform("_t", share).alias("parts"))
+    def shares(whole: Column) -> Column:
+        def share(t: Column) -> Column:
+            own = F.lit(None).cast("double")
+            for i, name in enumerate(sections):
+                own = F.when(t["section"] == name, whole[f"n{i}"]).otherwise(own)
+            return F.struct(t["section"].alias("section"), t["term"].alias("term"), (t["v"] / own * t["coef"]).alias("contribution"))
+
+        return F.transform(whole["t"], share)
+
+    # a document's norms are bound once, not worked out anew for each of its terms
+    whole = F.struct(F.col("_t").alias("t"), *[norm(F.col("_t"), name).alias(f"n{i}") for i, name in enumerate(sections)])
+    return gathered.select(*by, text.bound(whole, shares).alias("parts"))
 
 
 def contributions(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, sublinear: bool = True) -> DataFrame:
@@ -103,20 +113,150 @@ def contributions(docs: DataFrame, key: str, sections: dict[str, Column], model:
     return _matched(docs, key, sections, model, [key], sublinear).select(key, F.inline("parts"))
 
 
-def _told(parts: DataFrame, by: list[str], explain: int) -> DataFrame:
-    best = F.transform(F.filter("parts", lambda c: c["contribution"] > 0), lambda c: F.struct((-c["contribution"]).alias("o"), c["section"].alias("section"), c["term"].alias("term"), c["contribution"].alias("contribution")))
-    shown = F.transform(F.slice(F.array_sort(best), 1, explain), lambda b: F.struct(b["section"].alias("section"), b["term"].alias("term"), b["contribution"].alias("contribution")))
-    return parts.select(*by, F.aggregate("parts", F.lit(0.0), lambda s, c: s + c["contribution"]).alias("x"), shown.alias("e"))
+NOTHING = "array<struct<section:string,term:string,contribution:double>>"
 
 
-NOTHING = "array<struct<section:string,term:string,contribution:double>>"
+def _numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Rows, term numbers and counts of the distinct n-grams of every list, and the terms in their order."""
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+    n = max(1, len(order))
+    pairs, counts = np.unique(row * n + place[coded.indices.to_numpy()], return_counts=True)
+    return pairs // n, pairs % n, counts, coded.dictionary.take(pa.array(order))
+
+
+def _evaluated(keys: pa.Array, parts: list[tuple], weights: dict[tuple[int, int], tuple], models: list[str], sections: list[str], explain: int) -> Iterator[pa.RecordBatch]:
+    """``key, model, x, e``: of every document and model the sum of its contributions and the largest positive ones.  ``parts`` has
+    rows, term numbers, counts and terms of each section, ``weights`` idf and coef by number for a model and section (NaN: not known)."""
+    n = len(keys)
+    for m, model in enumerate(models):
+        x, best = np.zeros(n), []
+        for i, (row, code, count, names) in enumerate(parts):
+            if (m, i) not in weights:
+                continue
+            idf, coef = weights[m, i]
+            known = ~np.isnan(idf[code])
+            r, c = row[known], code[known]
+            v = (1 + np.log(count[known])) * idf[c]
+            share = v / np.maximum(np.sqrt(np.bincount(r, v * v, n)), 1e-300)[r] * coef[c]
+            x += np.bincount(r, share, n)
+            if explain:
+                some = share > 0
+                best.append((r[some], share[some], np.full(int(some.sum()), i), c[some]))
+        told, stops = [], np.zeros(n + 1, np.int64)
+        if best:
+            r, share, at, c = (np.concatenate(a) for a in zip(*best))
+            name = np.argsort(np.argsort(np.array(sections)))[at]
+            order = np.lexsort((c, name, -share, r))
+            first = np.searchsorted(r[order], np.arange(n))
+            order = order[np.arange(len(order)) - first[r[order]] < explain]
+            stops = np.searchsorted(r[order], np.arange(n + 1))
+            told = [{"section": sections[i], "term": parts[i][3][k].as_py(), "contribution": s} for i, k, s in zip(at[order].tolist(), c[order].tolist(), share[order].tolist())]
+        e = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(told, EXPLAINED))
+        for a in range(0, n, 10_000):
+            size = min(n - a, 10_000)
+            yield pa.RecordBatch.from_arrays([keys.slice(a, size), pa.array([model] * size, pa.string()), pa.array(x[a : a + size]), e.slice(a, size)], ["key", "model", "x", "e"])
+
+
+EXPLAINED = pa.struct([("section", pa.string()), ("term", pa.string()), ("contribution", pa.float64())])
+
+
+def _packed(docs: DataFrame, key: str, sections: dict[str, Column]) -> DataFrame:
+    """Blocks of documents: ``block, key, packed`` (int32 numbers and counts of the n-grams of each section), and for each
+    of their sections rows ``block, section, begin, terms`` with the terms from number ``begin`` on."""
+    kind, width = docs.schema[key].dataType.simpleString(), len(sections)
+
+    def block(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        keys = pa.concat_arrays([b.column(0) for b in held])
+        n, packed = len(keys), []
+        for i in range(width):
+            row, code, count, names = _numbered(pa.concat_arrays([b.column(i + 1) for b in held]))
+            stop = np.searchsorted(row, np.arange(n + 1)).tolist()
+            both = np.stack([code, count]).astype(np.int32)
+            packed.append([both[:, a:b].tobytes() for a, b in zip(stop, stop[1:])])
+            for a in range(0, len(names), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, keys.type), pa.nulls(1, pa.list_(pa.binary())), pa.array([i], pa.int32()), pa.array([a]), pa.array([names.slice(a, 20_000).to_pylist()], pa.list_(pa.string()))], names=PACKED)
+        for a in range(0, n, 2_000):
+            size = min(n - a, 2_000)
+            yield pa.RecordBatch.from_arrays([pa.array([number] * size), keys.slice(a, size), pa.array([list(p) for p in zip(*(s[a : a + size] for s in packed))], pa.list_(pa.binary())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.list_(pa.string()))], names=PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held.append(batch)
+            size += sum(len(batch.column(i + 1).flatten()) for i in range(width))
+            if size >= BLOCK:
+                yield from block(held, number)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from block(held, number)
+
+    return docs.select(F.col(key), *sections.values()).mapInArrow(run, f"block long, key {kind}, packed array<binary>, section int, begin long, terms array<string>")
+
+
+PACKED = ["block", "key", "packed", "section", "begin", "terms"]
+
+
+def _sums(docs: DataFrame, key: str, sections: dict[str, Column], models: DataFrame, names: list[str], explain: int) -> DataFrame:
+    """``key, model, x, e`` of every document under every model of ``names``; ``models`` is ``model, section, term, idf, coef``."""
+    kind, listed = docs.schema[key].dataType.simpleString(), list(sections)
+    out = f"key {kind}, model string, x double, e {NOTHING}"
+    number = lambda some, c: F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(some) for x in (name, i)]), F.col(c))
+    wanted = models.where(F.col("model").isin(*names) & F.col("section").isin(*listed)) if names else models.where(F.lit(False))
+    wanted = wanted.select(number(names or [""], "model").alias("m"), number(listed, "section").alias("section"), "term", F.col("idf").cast("double"), F.col("coef").cast("double"))
+    small = wanted.limit(SMALL_MODEL + 1).toArrow()
+    if len(small) <= SMALL_MODEL:
+        each = {(m, i): small.filter(pc.and_(pc.equal(small.column("m"), m), pc.equal(small.column("section"), i))).combine_chunks() for m in range(len(names)) for i in range(len(listed))}
+        known = {at: (t.column("term").cast(pa.string()).combine_chunks(), t.column("idf").to_numpy(), t.column("coef").to_numpy()) for at, t in each.items() if len(t)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts, weights = [_numbered(batch.column(i + 1)) for i in range(len(listed))], {}
+                for (m, i), (term, idf, coef) in known.items():
+                    at = pc.fill_null(pc.index_in(parts[i][3], value_set=term), len(term)).to_numpy()
+                    weights[m, i] = np.append(idf, np.nan)[at], np.append(coef, np.nan)[at]
+                yield from _evaluated(batch.column(0), parts, weights, names, listed, explain)
+
+        return docs.select(F.col(key), *sections.values()).mapInArrow(run, out).withColumnRenamed("key", key)
+
+    packed = durable(_packed(docs, key, sections))
+    asked = packed.where("terms is not null").select("block", "section", "begin", F.posexplode("terms").alias("place", "term")).select("block", "section", (F.col("begin") + F.col("place")).cast("int").alias("code"), "term")
+    told = asked.join(wanted, ["section", "term"]).select(F.col("block").alias("own"), "m", "section", "code", "idf", "coef", *(["term"] if explain else []))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, parts, weights = left.column("packed").to_pylist(), [], {}
+        for i in range(len(listed)):
+            both = [np.frombuffer(r[i], np.int32).reshape(2, -1) for r in rows]
+            row = np.repeat(np.arange(len(rows)), [b.shape[1] for b in both])
+            code, count = np.concatenate(both, axis=1).astype(np.int64) if both else np.zeros((2, 0), np.int64)
+            n = int(code.max(initial=-1)) + 1
+            own = right.filter(pc.equal(right.column("section"), i))
+            terms = None
+            if explain:
+                at = np.full(n, len(own))
+                at[own.column("code").to_numpy()] = np.arange(len(own))
+                terms = pa.concat_arrays([*own.column("term").cast(pa.string()).chunks, pa.nulls(1, pa.string())]).take(pa.array(at))
+            parts.append((row, code, count, terms))
+            for m in range(len(names)):
+                some = own.filter(pc.equal(own.column("m"), m))
+                weights[m, i] = idf, coef = np.full(n, np.nan), np.full(n, np.nan)
+                idf[some.column("code").to_numpy()], coef[some.column("code").to_numpy()] = some.column("idf").to_numpy(), some.column("coef").to_numpy()
+        keys = left.column("key")
+        schema = pa.schema([("key", keys.type), ("model", pa.string()), ("x", pa.float64()), ("e", pa.list_(EXPLAINED))])
+        return pa.Table.from_batches(_evaluated(pa.concat_arrays(left.column("key").chunks) if len(left) else pa.array([], keys.type), parts, weights, names, listed, explain), schema)
+
+    held = packed.where("terms is null").select("block", "key", "packed")
+    return held.groupBy("block").cogroup(told.groupBy("own")).applyInArrow(meet, out).withColumnRenamed("key", key)
 
 
 def scores(docs: DataFrame, key: str, sections: dict[str, Column], model: DataFrame, intercept: float, explain: int = 8) -> DataFrame:
     """``key, score, explanations``: the probability and the largest positive contributions.  A text
     without known terms has the probability of the intercept."""
-    found = docs.select(key).join(_told(_matched(docs, key, sections, model, [key], True), [key], explain), key, "left")
-    return found.select(key, scalars.sigmoid(intercept + F.coalesce("x", F.lit(0.0))).alias("score"), F.coalesce("e", F.array().cast(NOTHING)).alias("explanations"))
+    found = _sums(docs, key, sections, model.withColumn("model", F.lit("")), [""], explain)
+    return found.select(key, scalars.sigmoid(F.lit(float(intercept)) + F.col("x")).alias("score"), F.col("e").alias("explanations"))
 
 
 def family_scores(docs: DataFrame, key: str, sections: dict[str, Column], models: DataFrame, intercepts: dict[str, float | None], explain: int = 8) -> DataFrame:
@@ -134,12 +274,15 @@ def family_scores(docs: DataFrame, key: str, sections: dict[str, Column], models
         elif state[name].bad:
             errors[name] = f"{state[name].bad} weights are no numbers"
     good = [name for name in intercepts if name not in errors]
-    parts = _matched(docs, key, sections, models.where(F.col("model").isin(*good) if good else F.lit(False)), [key, "model"], True)
-    heads = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(None if n in errors else b).cast("double").alias("b"), F.lit(errors.get(n)).alias("error")) for n, b in intercepts.items()]))
-    every = docs.select(key, heads.alias("h")).select(key, "h.*")
-    found = every.join(_told(parts, [key, "model"], explain), [key, "model"], "left")
-    score = F.when(F.col("error").isNull(), scalars.sigmoid(F.col("b") + F.coalesce("x", F.lit(0.0))))
-    return found.select(key, "model", score.alias("score"), F.coalesce("e", F.array().cast(NOTHING)).alias("explanations"), F.col("error").cast("string").alias("error"))
+    heads = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(None).cast("double").alias("x"), F.array().cast(NOTHING).alias("e")) for n in errors])) if errors else None
+    found = _sums(docs, key, sections, models, good, explain)
+    if errors:
+        found = found.unionByName(docs.select(key, heads.alias("h")).select(key, "h.*"))
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(None if n in errors else b).cast("double").alias("b"), F.lit(errors.get(n)).cast("string").alias("error")) for n, b in intercepts.items()]))
+    heads = docs.sparkSession.range(1).select(told.alias("h")).select("h.*")
+    found = found.join(F.broadcast(heads), "model")  # a row a model
+    score = F.when(F.col("error").isNull(), scalars.sigmoid(F.col("b") + F.col("x")))
+    return found.select(key, "model", score.alias("score"), F.col("e").alias("explanations"), "error")
 
 
 def word_section(column: str = "text", low: int = 1, high: int = 1) -> Column:

@@ -41,7 +41,7 @@ def missing_scores(rows: DataFrame, sections: dict[str, Column], models: DataFra
     that fail give nothing."""
     docs = rows.where("scored and text <> '' and size(lacks) > 0").select("key", "text")
     lacks = rows.select("key", F.explode("lacks").alias("model"))
-    found = scoring.family_scores(docs, "key", sections, models, intercepts).where("score is not null").join(lacks, ["key", "model"], "left_semi")
+    found = scoring.family_scores(docs, "key", sections, models, intercepts, explain=0).where("score is not null").join(lacks, ["key", "model"], "left_semi")
     return found.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "score")))).alias("alternates"))
 
 

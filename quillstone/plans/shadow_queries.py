@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import scoring, shadow
+from quillstone.operators.store import durable
 from quillstone.plans.tables import EVENTS, corpus, events
 from quillstone.sources import jsonl
 
@@ -28,6 +29,7 @@ def query(sql: str | None = None) -> Callable:
 def _models(docs: DataFrame, grams) -> DataFrame:
     """Three models over the terms of the corpus itself: those in 2 documents or more, weighted by length and first letter; the third is broken."""
     known = scoring.weighed(scoring.document_frequency(docs, grams), docs.count()).where("df >= 2")
+    known = durable(known)  # asked for its state, its size and its weights
     coef = {"long": (F.length("term") - 6) / 4.0, "vowel": F.when(F.substring("term", 1, 1).isin("a", "e", "i", "o", "u"), 1.0).otherwise(-1.0), "broken": F.lit(float("nan"))}
     return known.select(F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.cast("double").alias("coef")) for n, c in coef.items()])).alias("m"), "term", "idf").select("m.model", F.lit("word").alias("section"), "term", "idf", "m.coef")
 
@@ -45,7 +47,7 @@ INTERCEPTS = {"long": -0.5, "vowel": 0.25, "broken": 0.0, "absent": 0.0}
   FROM documents LEFT JOIN n ON n.id = doc_id, (SELECT unnest(['long', 'vowel', 'broken', 'absent']) AS model)""")
 def shadow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    found = scoring.family_scores(docs, "id", {"word": scoring.word_section()}, _models(docs, scoring.word_section()), INTERCEPTS)
+    found = scoring.family_scores(docs, "id", {"word": scoring.word_section()}, _models(docs, scoring.word_section()), INTERCEPTS, explain=0)
     return found.select("id", "model", F.round("score", 6).alias("score"), "error")
 
 

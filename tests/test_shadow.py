@@ -50,3 +50,25 @@ def test_backfill(spark, tmp_path):
     assert first["ü"] == [1, {"a": None}] and set(first["classifier"]["alternates"]) == {"m", "n"} and first["classifier"]["alternates_prompt_source"] == "prompt"
     assert fourth["classifier"]["alternates"]["m"] == {"score": 0.9} and abs(fourth["classifier"]["alternates"]["n"]["score"] - 0.5) < 1e-12
     assert last["classifier"]["alternates_prompt_source"] == "transcript"
+
+
+def test_large_models_agree_with_small_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "bad bad good other"), (2, "nothing known"), (3, ""), (4, None), (5, "good " * 40 + "bad"), (6, "bad " * 9 + "good")], "id long, text string").repartition(2)
+    ask = lambda: sorted((r.id, r.model, r.score, str(r.explanations), r.error) for r in scoring.family_scores(docs, "id", words(), models(spark), {"m": 0.5, "n": -1.0, "x": 0.0}).collect())
+    small = ask()
+    monkeypatch.setattr(scoring, "SMALL_MODEL", 0)
+    monkeypatch.setattr(scoring, "BLOCK", 4)
+    assert ask() == small and len(small) == 18
+
+
+def test_a_long_text_costs_its_length(spark):
+    """Its norm was worked out anew for each of its terms: 60,000 distinct ones took many minutes."""
+    import time
+
+    terms = [f"t{i}" for i in range(60_000)]
+    model = spark.createDataFrame([("word", t, 1.0, 1.0) for t in terms], "section string, term string, idf double, coef double")
+    docs = spark.createDataFrame([(1, " ".join(terms))], "id long, text string")
+    began = time.monotonic()
+    assert abs(scoring.scores(docs, "id", words(), model, 0.0).first().score - sigmoid(math.sqrt(60_000))) < 1e-9
+    assert abs(scoring.contributions(docs, "id", words(), model).groupBy().sum("contribution").first()[0] - math.sqrt(60_000)) < 1e-6
+    assert time.monotonic() - began < 100
