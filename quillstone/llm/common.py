@@ -136,12 +136,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows ``doc_id, text, y`` outside the held-out fold.
+#: Labels up to which they are broadcast to the documents (of some 20 bytes each).
+FEW_LABELS = 1_000_000
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """All labelled rows ``doc_id, text, y`` outside the held-out fold, or at most ``limit`` of them.
 
     Which rows: those with the smallest hash of the id, hence a uniform and repeatable sample that
     depends on nothing but the ids.  The rows are picked among the labels alone, before any text
-    is read, and only then joined (the picked side has at most ``limit`` rows).  Of documents that
+    is read, and only then joined.  Of documents that
     share an id one, with the least hash of its text, is taken, so the bound holds for repeated ids too.
     """
     picked = (
@@ -149,7 +153,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    found = texts(docs).join(F.broadcast(picked), "doc_id")
+    if limit is not None:
+        picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    few = limit is not None or picked.count() <= FEW_LABELS
+    found = texts(docs).join(F.broadcast(picked) if few else picked, "doc_id")
     return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.text", "r.y")

@@ -6,9 +6,10 @@ letters behind what is seen, over the lattice of each mark's possible letters, u
 language model.  Restored and plain words then give evidence by themselves and by their first
 letters; a logistic curve over a text's strongest and summed evidence is its score.
 
-Model and curve are learnt in one task from at most ``train_rows`` labelled rows outside the
-held-out fold (those with the least hash of the id).  Tables of at most ``most_features`` weights
-and one character model go to the executors, whatever the size of the input.
+Model and curve are learnt from all labelled rows outside the held-out fold, in four passes over them: words, letters and
+beginnings; features of toxic rows; those features in clean rows; evidence, on which Newton's steps are taken as sums over the
+tasks.  Tables of at most ``most_features`` weights, one character model and the frequent words with a doubled letter that
+look like a feature go to the executors; a feature is in a hundredth of the toxic rows at least, so their number is bounded too.
 
 Cases: null, empty or wordless text has no evidence and gets the curve's lowest score; a text of any
 length counts whole; repeated rows score alike; a null id is not held out, and no label is learnt by it;
@@ -19,10 +20,9 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,22 +52,36 @@ SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€£]\s+){2,}[\w@$!|+€£](?!\S)")
 FOLD = str.maketrans({m: c[-1].replace("i", "l") for m, c in LOOKALIKE.items()} | {"i": "l"} | dict.fromkeys(SEPARATORS))
 
 
+def _triples(words: Counter) -> Counter:
+    """Counts of three letters in a row."""
+    found: Counter = Counter()
+    for word, n in words.items():
+        chain = f"^^{word}\n"
+        for i in range(2, len(chain)):
+            found[chain[i - 2 : i + 1]] += n
+    return found
+
+
 class CharModel:
     """Trigram model of words with add-k smoothing; ``^`` begins and ``$`` ends a word."""
 
     def __init__(self, words: Counter, k: float = 0.05):
-        self.pairs: dict[str, float] = Counter()
-        self.triples: dict[str, float] = Counter()
-        letters = set("^")
-        for word, n in words.items():
-            chain = f"^^{word}\n"
-            letters.update(word)
-            for i in range(2, len(chain)):
-                self.triples[chain[i - 2 : i + 1]] += n
-                self.pairs[chain[i - 2 : i]] += n
-        self.k, self.size = k, max(2, len(letters))
-        self.known = frozenset(w for w, n in words.items() if n > 2)
-        self.triples, self.pairs = dict(self.triples), dict(self.pairs)
+        self._count(_triples(words), (w for w, n in words.items() if n > 2), k)
+
+    @classmethod
+    def counted(cls, triples: dict[str, int], known: Iterable[str]) -> CharModel:
+        """Of counts of three letters in a row, with the frequent words that have a doubled letter (others have nothing to restore)."""
+        model = cls.__new__(cls)
+        model._count(triples, known, 0.05)
+        return model
+
+    def _count(self, triples: dict[str, int], known: Iterable[str], k: float) -> None:
+        self.triples, self.known, self.k = dict(triples), frozenset(known), k
+        pairs: Counter = Counter()
+        for triple, n in triples.items():
+            pairs[triple[:2]] += n
+        self.pairs = dict(pairs)
+        self.size = max(2, len({"^", *(t[2] for t in triples)} - {"\n"}))
 
     def log(self, before: str, c: str) -> float:
         return math.log((self.triples.get(before + c, 0) + self.k) / (self.pairs.get(before, 0) + self.k * self.size))
@@ -111,12 +125,21 @@ def decode(seen: str, model: CharModel) -> str:
     return viterbi(seen, model)[1]
 
 
-def restored(token: str, model: CharModel) -> str:
-    """A lower-case token as a plain word."""
-    for word in (token, core := EDGES.sub("", token)):
+def settled(token: str, model: CharModel) -> str | None:
+    """A lower-case token as a plain word where nothing need be decoded."""
+    for word in (token, EDGES.sub("", token)):
         # known words stay, and letters of which none is doubled have nothing to restore
         if word in model.known or PLAIN(word) and not DOUBLE.search(word):
             return word
+    return None
+
+
+def restored(token: str, model: CharModel) -> str:
+    """A lower-case token as a plain word."""
+    word = settled(token, model)
+    if word is not None:
+        return word
+    core = EDGES.sub("", token)
     if not any(c.isalpha() or c in LOOKALIKE for c in core):
         return core
     return decode(core, model)
@@ -203,17 +226,23 @@ class Scorer:
         return 1 / (1 + math.exp(-min(700, max(-700, x))))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and second derivatives of the logistic loss over rows of evidence, one after the other."""
+    z = np.column_stack([np.ones(len(x)), x])
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.concatenate([z.T @ (y - p), ((z.T * (p * (1 - p))) @ z).ravel()])
+
+
+def _curve(sums: Callable[[np.ndarray], np.ndarray], size: int = 3, ridge: float = 0.1) -> tuple[float, float, float]:
     """Logistic regression by Newton's method with a ridge on all but the constant; slopes that
-    would punish evidence are set to zero."""
-    x = np.column_stack([np.ones(len(x)), x])
-    keep = np.ones(x.shape[1], bool)
+    would punish evidence are set to zero.  ``sums`` gives ``_sums`` of all rows."""
+    keep = np.ones(size, bool)
     for _ in range(3):
-        w, z = np.zeros(x.shape[1]), x * keep
-        penalty = ridge * np.diag([1e-6, *[1.0] * (x.shape[1] - 1)])
+        w = np.zeros(size)
+        penalty = ridge * np.diag([1e-6, *[1.0] * (size - 1)])
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ w)
+            both = sums(w * keep)
+            step = np.linalg.solve(both[size:].reshape(size, size) * np.outer(keep, keep) + penalty, both[:size] * keep - penalty @ w)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -223,58 +252,172 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, flo
     return tuple(float(v) for v in w * keep)
 
 
-def fit(rows: list[tuple[str, int]], most_features: int = 5000) -> Scorer:
-    """Learns from ``(text, label)`` rows."""
-    positives = sum(y for _, y in rows)
-    if not 0 < positives < len(rows):
-        share = positives / len(rows) if rows else 0.0
-        return Scorer(CharModel(Counter()), {}, (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
+Rows = Iterable[tuple[str, int]]
+
+
+def _words(rows: Rows) -> Iterator[Counter]:
+    """Counts by kind and item: rows by label, three letters in a row, words with a doubled letter, and for toxic rows
+    the beginnings of their tokens' shapes.  At times what is counted so far comes out, so that it stays small."""
+    found: Counter = Counter()
     words: Counter = Counter()
-    for text, _ in rows:
-        words.update(text.lower().split())
-    model = CharModel(Counter({w: n for w, n in words.items() if PLAIN(w) and not TRIPLE.search(w)}))
-    plain: dict[str, str] = {}
-    shapes = {w: folded(w) for w in words}
+    shapes: dict[str, str] = {}
 
-    def features(text: str, able: Shapes | set[str]) -> set[str]:
-        lower = text.lower()
-        found: set[str] = set()
-        for t in set(lower.split()):
-            if t in plain or (shapes[t][:3] in able if isinstance(able, set) else able.may(shapes[t])):
-                if t not in plain:
-                    plain[t] = restored(t, model)
-                found.update(word_features(plain[t]))
-        found.update(f for m in SPACED.finditer(lower) for w in decode(" ".join(m.group().split()), model).split() for f in word_features(w))
+    def told() -> Counter:
+        plain = Counter({w: n for w, n in words.items() if PLAIN(w) and not TRIPLE.search(w)})
+        found.update({("t", t): n for t, n in _triples(plain).items()})
+        found.update({("w", w): n for w, n in plain.items() if DOUBLE.search(w)})
         return found
 
-    n0, n1 = len(rows) - positives, positives
+    for text, y in rows:
+        tokens = text.lower().split()
+        words.update(tokens)
+        found["r", str(y)] += 1
+        if y:
+            for t in (own := set(tokens)) - shapes.keys():
+                shapes[t] = folded(t)[:3]
+            found.update({("b", shapes[t]) for t in own})
+        if len(words) > MEMO:
+            yield told()
+            found, words, shapes = Counter(), Counter(), {}
+    yield told()
+
+
+def _features(rows: Rows, model: CharModel, able: Shapes | set[str] | None, only: dict | None = None) -> Iterator[Counter]:
+    """In how many rows each feature (of ``only``) is; tokens are decoded where their shape, or its beginning, is ``able`` (None: nowhere)."""
+    found: Counter = Counter()
+    plain: dict[str, list[str]] = {}
+
+    def of(word: str) -> list[str]:
+        return [f for f in word_features(word) if only is None or f in only]
+
+    for text, _ in rows:
+        lower = text.lower()
+        own: set[str] = set()
+        for t in set(lower.split()):
+            told = plain.get(t)
+            if told is None:
+                shape = "" if able is None else folded(t)
+                told = plain[t] = of(settled(t, model) or "") if able is None else of(restored(t, model)) if (shape[:3] in able if isinstance(able, set) else able.may(shape)) else []
+            own.update(told)
+        own.update(f for m in (SPACED.finditer(lower) if able is not None else ()) for w in decode(" ".join(m.group().split()), model).split() for f in of(w))
+        found.update(own)
+        if len(plain) > MEMO:
+            yield found
+            found, plain = Counter(), {}
+    yield found
+
+
+def _fitted(count: Callable[..., Counter], known: Callable[[set[str]], Iterable[str]], sums: Callable[[Scorer], Callable[[np.ndarray], np.ndarray]], most_features: int) -> Scorer:
+    """The steps of learning: ``count(f, label, *args)`` adds up what ``f`` yields over the rows (of one label), ``known`` gives
+    frequent words with a doubled letter whose shapes begin as told, ``sums`` what a scorer's curve needs."""
+    first = count(_words, None)
+    of = lambda kind: {item: n for (k, item), n in first.items() if k == kind}
+    labels = of("r")
+    n0, n1 = labels.get("0", 0), labels.get("1", 0)
+    if not (n0 and n1):
+        share = n1 / (n0 + n1) if n0 + n1 else 0.0
+        return Scorer(CharModel(Counter()), {}, (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
     least = max(3, 0.01 * n1)
     # a feature of so many texts has a shape that begins alike in as many: only such tokens are decoded
-    begun = Counter(p for text, y in rows if y for p in {shapes[t][:3] for t in text.lower().split()})
-    begun = {p for p, n in begun.items() if n >= least}
-    toxic = Counter(f for text, y in rows if y for f in features(text, begun))
-    toxic = {f: n for f, n in toxic.items() if n >= least}
-    able = Shapes(toxic)
-    clean = Counter(f for text, y in rows if not y for f in features(text, able) if f in toxic)
-    odds = {f: math.log((n + 0.5) / (n1 + 1)) - math.log((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items()}
+    begun = {p for p, n in of("b").items() if n >= least}
+    model = CharModel.counted(of("t"), known(begun))
+    toxic = {f: n for f, n in count(_features, 1, model, begun, least=least).items() if n >= least}
+
+    def weighed(clean: Counter) -> dict[str, float]:
+        return {f: math.log((n + 0.5) / (n1 + 1)) - math.log((clean[f] + 0.5) / (n0 + 1)) for f, n in toxic.items()}
+
+    # clean rows that have a feature without decoding are the least that have it: what is too frequent there can be no evidence
+    most = weighed(count(_features, 0, model, None, toxic))
+    toxic = {f: n for f, n in toxic.items() if most[f] > 2.5}
+    odds = weighed(count(_features, 0, model, Shapes(toxic), toxic))
     best = sorted((f for f in odds if odds[f] > 2.5), key=lambda f: (-odds[f], f))[:most_features]
     scorer = Scorer(model, {f: odds[f] for f in best}, (0.0, 0.0, 0.0))
-    x = np.array([scorer.evidence(text) for text, _ in rows])
-    scorer.curve = _curve(x, np.array([y for _, y in rows], float))
+    # tokens of other shapes are never looked up
+    model.known = frozenset(w for w in model.known if scorer.able.may(folded(w)))
+    scorer.curve = _curve(sums(scorer))
     scorer.memo, scorer.old = {}, {}
     return scorer
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Scorer:
-    """Fitted in one task, since its rows are bounded; only the model comes to the driver."""
+def fit(rows: list[tuple[str, int]], most_features: int = 5000) -> Scorer:
+    """Learns from ``(text, label)`` rows that are at hand."""
+    counts: Counter = Counter()
+
+    def count(f: Callable, label: int | None, *args, least: float = 1) -> Counter:
+        found = sum(f((r for r in rows if label is None or r[1] == label), *args), Counter())
+        if f is _words:
+            counts.update(found)
+        return found
+
+    def known(begun: set[str]) -> Iterable[str]:
+        return [w for (kind, w), n in counts.items() if kind == "w" and n > 2 and folded(w)[:3] in begun]
+
+    def sums(scorer: Scorer) -> Callable[[np.ndarray], np.ndarray]:
+        x, y = np.array([scorer.evidence(text) for text, _ in rows]), np.array([y for _, y in rows], float)
+        return lambda w: _sums(x, y, w)
+
+    return _fitted(count, known, sums, most_features)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_features: int = 5000) -> Scorer:
+    """Learns from all labelled rows outside the held-out fold; counts and sums come to the driver."""
+    rows = common.durable(common.training_rows(docs, labels, "toxic").select("text", "y"))
+    context = rows.sparkSession.sparkContext
+    words: list[DataFrame] = []
+
+    def count(f: Callable, label: int | None, *args, least: float = 1) -> Counter:
+        sent = context.broadcast(args)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = ((t, y) for batch in batches for part in common.slices(batch, 0) for t, y in zip(*(c.to_pylist() for c in part.columns)))
+            for found in f(texts, *sent.value):
+                items = list(found.items())
+                for a in range(0, len(items), 50_000):
+                    part = items[a : a + 50_000]
+                    keys = [k if f is _words else ("f", k) for k, _ in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n for _, n in part], pa.int64())], ["kind", "item", "n"])
+
+        some = rows if label is None else rows.where(F.col("y") == label)
+        totals = common.mapped(some, run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+        if f is _words:
+            totals = common.durable(totals)
+            words.append(totals.where("kind = 'w' and n > 2").select("item"))
+        found = totals.where((F.col("kind") != "w") & (F.col("n") >= least)).toArrow().to_pydict()
+        return Counter({(k, i) if f is _words else i: n for k, i, n in zip(found["kind"], found["item"], found["n"])})
+
+    def known(begun: set[str]) -> Iterable[str]:
+        sent = context.broadcast(begun)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if folded(w)[:3] in sent.value], pa.string())], ["item"])
+
+        return common.mapped(words[0], run, "item string").toArrow().column(0).to_pylist()
+
+    def sums(scorer: Scorer) -> Callable[[np.ndarray], np.ndarray]:
+        sent = context.broadcast(scorer)
+
+        def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in common.slices(batch, 0):
+                    x = [sent.value.evidence(t) for t in part.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in x], pa.float64()), pa.array([e[1] for e in x], pa.float64()), part.column(1).cast(pa.float64())], ["a", "b", "y"])
+
+        held = common.durable(common.mapped(rows, evidence, "a double, b double, y double"))
+
+        def of(w: np.ndarray) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(12)
+                for batch in batches:
+                    a, b, y = (c.to_numpy() for c in batch.columns)
+                    total += _sums(np.column_stack([a, b]), y, w)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["s"])
+
+            return np.sum(held.mapInArrow(run, "s array<double>").toArrow().column(0).to_pylist(), axis=0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t, y) for batch in batches for i, t, y in zip(*(c.to_pylist() for c in batch.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in rows]))], pa.binary())], names=["model"])
+        return of
 
-    sample = common.training_rows(docs, labels, "toxic", train_rows).select("doc_id", "text", "y")
-    found = common.mapped(sample.coalesce(1), run, "model binary").first()
-    return pickle.loads(found.model) if found else fit([])
+    return _fitted(count, known, sums, most_features)
 
 
 def score_column(scorer: Scorer, text: Column) -> Column:
@@ -294,13 +437,13 @@ def score_column(scorer: Scorer, text: Column) -> Column:
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_rows: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted``."""
     found = common.texts(docs)
-    found = found.select("doc_id", score_column(learn(docs, labels, train_rows), F.col("text")).alias("score"))
+    found = found.select("doc_id", score_column(learn(docs, labels), F.col("text")).alias("score"))
     return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_rows: int = 6000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` below the threshold, with all their columns."""
-    return docs.where(score_column(learn(docs, labels, train_rows), docs["text"]) < threshold)
+    return docs.where(score_column(learn(docs, labels), docs["text"]) < threshold)

@@ -59,3 +59,16 @@ def test_odd_rows(spark, odd, none, module):
     assert all(0 <= s <= 1 for _, s in got) and len({s for i, s in got if i in (1, 2, 3)}) == 1
     assert module.classify(none, labels).count() == 0
     assert module.classify(odd, labels.limit(0)).count() == len(ODD)
+
+
+def test_toxicity_is_learnt_from_all_labelled_rows(spark):
+    """Not from a sample of 6000: the weights are those of all rows at hand, in any layout."""
+    plain = ["all the green hills", "a bell rings well", "books on the shelf", "he fell off"]
+    rows = [(i, f"{plain[i % 4]} {'you stuupid l0ser' if i % 9 == 0 else 'friend'} w{i % 50} s i l l y", int(i % 9 == 0)) for i in range(11_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    train = [r[1:] for r in rows if not held_out(r[0])]
+    assert len(train) > 6000
+    want, got = toxicity.fit(train), toxicity.learn(docs, labels)
+    assert got.weights == want.weights and got.model.triples == want.model.triples and got.model.known == want.model.known
+    assert np.allclose(got.curve, want.curve)
