@@ -8,8 +8,9 @@ knows of them meets the block's documents again, which are numbers by then.  A d
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,22 @@ BLOCK = 3_000_000
 SMALL_MODEL = 200_000
 
 
+def _sliced(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` elements of the lists after its first column (a longer row is a part of its own)."""
+    size = np.cumsum(sum(pc.fill_null(c.value_lengths(), 0).to_numpy().astype(np.int64) for c in batch.columns[1:]))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def counted(docs: DataFrame, key: str, sections: dict[str, Column], known: dict[str, pa.Array] | None = None) -> DataFrame:
     """``key, section, term, count`` of the n-grams of every section; with ``known`` only of each section's terms there."""
     names = list(sections)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _sliced(whole)):
             for i, name in enumerate(names, 1):
                 grams = batch.column(i)
                 coded = grams.flatten().dictionary_encode()
@@ -54,6 +65,65 @@ def counted(docs: DataFrame, key: str, sections: dict[str, Column], known: dict[
     return found.withColumnRenamed("key", key)
 
 
+def _pairs(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """Row and number of every pair of neighbouring words, and what spells numbers out."""
+    coded = words.flatten().dictionary_encode()
+    row, code, n = np.repeat(np.arange(len(words)), pc.fill_null(words.value_lengths(), 0).to_numpy()), coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    same = row[1:] == row[:-1]
+    spell = lambda g: pc.binary_join_element_wise(coded.dictionary.take(pa.array(g // n)), coded.dictionary.take(pa.array(g % n)), " ")
+    return row[1:][same], (code[:-1] * n + code[1:])[same], spell
+
+
+def _threes(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """The same of every three characters of each word between two blanks; a distinct word is cut once."""
+    coded = words.flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(len(words)), pc.fill_null(words.value_lengths(), 0).to_numpy()), coded.indices.to_numpy()
+    cut = [[p[i : i + 3] for i in range(len(p) - 2)] for p in (f" {w} " for w in coded.dictionary.to_pylist())]
+    size = np.fromiter(map(len, cut), np.int64, len(cut))
+    grams = pa.array(list(itertools.chain.from_iterable(cut)), pa.string()).dictionary_encode()
+    first, n = np.cumsum(size) - size, size[code]
+    upto = np.cumsum(n) - n
+    at = np.repeat(first[code] - upto, n) + np.arange(int(n.sum()))
+    return np.repeat(row, n), grams.indices.to_numpy()[at].astype(np.int64), lambda g: grams.dictionary.take(pa.array(g))
+
+
+def _within(docs: DataFrame, key: str, words: Column, cut: Callable) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _sliced(whole, 200_000)):
+            row, gram, spell = cut(batch.column(1))
+            order = np.lexsort((gram, row))
+            row, gram = row[order], gram[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])) if len(row) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(new, len(row)))
+            for a in range(0, len(new), 100_000):
+                at = new[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), spell(gram[at]), pa.array(counts[a : a + 100_000])], ["key", "gram", "n"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), words).mapInArrow(run, f"key {kind}, gram string, n long").withColumnRenamed("key", key)
+
+
+def grams_of(docs: DataFrame, key: str, words: Column, cut: Callable) -> DataFrame:
+    """``key, gram, n`` of the pairs of words (``_pairs``) or three characters of words (``_threes``).  They are counted within the row, without
+    a shuffle; only rows that share their key with others, found by the keys alone, are added up by key."""
+    shared = docs.groupBy(key).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col(key).alias("_key"))
+    few = shared.limit(SMALL_MODEL + 1).count()
+    if not few:
+        return _within(docs, key, words, cut)
+    shared = F.broadcast(shared) if few <= SMALL_MODEL else shared
+    same = docs[key].eqNullSafe(shared["_key"])
+    many = _within(docs.join(shared, same, "left_semi"), key, words, cut).groupBy(key, "gram").agg(F.sum("n").alias("n"))
+    return _within(docs.join(shared, same, "left_anti"), key, words, cut).unionByName(many)
+
+
+def word_pairs(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    return grams_of(docs, key, text.word_tokens(F.col(column)), _pairs)
+
+
+def character_threes(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    return grams_of(docs, key, F.regexp_extract_all(F.lower(column), F.lit(r"(?U)\S+"), 0), _threes)
+
+
 def terms(docs: DataFrame, key: str, grams: Column, section: str = "word") -> DataFrame:
     """``key, section, term, count``."""
     return counted(docs, key, {section: grams})
@@ -213,7 +283,7 @@ def _sums(docs: DataFrame, key: str, sections: dict[str, Column], models: DataFr
         known = {at: (t.column("term").cast(pa.string()).combine_chunks(), t.column("idf").to_numpy(), t.column("coef").to_numpy()) for at, t in each.items() if len(t)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _sliced(whole)):
                 parts, weights = [_numbered(batch.column(i + 1)) for i in range(len(listed))], {}
                 for (m, i), (term, idf, coef) in known.items():
                     at = pc.fill_null(pc.index_in(parts[i][3], value_set=term), len(term)).to_numpy()

@@ -42,8 +42,7 @@ def accents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM documents),
   g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram""")
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.ngrams(text.word_tokens(F.col("text")), 2, 2)).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return scoring.word_pairs(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("""WITH w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '\\S+')) || ' ' AS p FROM documents),
