@@ -48,8 +48,7 @@ def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '\\S+')) || ' ' AS p FROM documents),
   g AS (SELECT doc_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM w) SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram""")
 def char_trigrams_within_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.char_ngrams(F.col("text"), 3, 3)).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    return scoring.character_threes(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("""SELECT o_orderpriority AS version, count(*) AS n, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS building
