@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -126,6 +129,10 @@ def word_tokens(text: Column) -> Column:
 
 def matched_words(text: Column, terms: list[str]) -> Column:
     """Sorted distinct ASCII words of the text that are terms."""
+    if len(terms) <= 8:  # looked for one by one, without a list of all words
+        own = sorted({t for t in terms if re.fullmatch("[a-z]+", t)})
+        found = bound(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)) & t.rlike(f"(?<![a-z]){w}(?![a-z])"), F.lit(w)) for w in own]) if own else F.array().cast("array<string>")))
+        return F.when(text.isNotNull(), found)
     return F.array_sort(F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0), F.array(*map(F.lit, terms))))
 
 
@@ -195,9 +202,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def weak_categories(text: Column) -> Column:
     """Names of the categories of which a pattern occurs, in a fixed order."""
-    t = F.lower(text)
-    found = [F.when(_any(t.rlike(p) for p in patterns), F.lit(name)) for name, patterns in WEAK_CATEGORIES.items()]
-    return F.filter(F.array(*found), lambda c: c.isNotNull())
+    def matches(t: Column, pattern: str) -> Column:
+        # what the pattern needs is looked for first, as a plain string, which costs far less than the pattern
+        needed = [part for part in re.split(r"\\b|\.\*|\(.*?\)|.\?", pattern) if len(part) > 1]
+        return reduce(and_, [F.contains(t, F.lit(part)) for part in needed]) & t.rlike(pattern)
+
+    def names(t: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_any(matches(t, p) for p in patterns), F.lit(name)) for name, patterns in WEAK_CATEGORIES.items()]))
+
+    return bound(F.lower(text), names)
 
 
 def weak_label(categories: Column, matches: Column) -> Column:
