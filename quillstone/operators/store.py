@@ -1,11 +1,15 @@
-"""Plumbing that operators share: durable tables and places in an order."""
+"""Plumbing that operators share: durable tables, Arrow batches of bounded bytes, places in an order."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -20,6 +24,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of 4 MiB, unless the session has a limit of its own (rows differ in size by far too much for Spark's
+    usual 10,000 of them); what a task took goes back to the system at its end, since the worker process lives on for other tasks."""
+    key, usual, ours = _BATCH
+    if df.sparkSession.conf.get(key, usual) == usual:
+        df.sparkSession.conf.set(key, ours)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return df.mapInArrow(released, schema)
+
+
 def summed(rows: DataFrame, keys: list[str], chunk: str, order: list[str | Column], value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over the rows of equal ``keys`` up to each, in ``order``.
 

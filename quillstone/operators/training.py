@@ -6,29 +6,52 @@ Rows have ``id, label`` (0.0 or 1.0), optionally ``weight``, and ``text`` or ``f
 from __future__ import annotations
 
 import fnmatch
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import text
-from quillstone.operators import metrics
+from quillstone.operators import metrics, sparse
+from quillstone.operators.store import durable
 
 
-def with_grams(rows: DataFrame, column: str = "text", words: tuple[int, int] = (1, 2), chars: tuple[int, int] | None = (3, 4)) -> DataFrame:
-    out = rows.withColumn("words", text.ngrams(text.word_tokens(F.col(column)), *words))
-    return out.withColumn("chars", text.char_ngrams(F.col(column), *chars)) if chars else out
+@dataclass
+class TextModel:
+    """The terms that count, and a classifier of the rows' vectors over them."""
 
+    known: sparse.Vocabulary
+    classifier: Model
 
-def tfidf_stages(columns: list[str], size: int, least: float = 2) -> list:
-    """Counts, idf and L2 norm per section, joined to one vector."""
-    stages = []
-    for c in columns:
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_n", vocabSize=size, minDF=least), IDF(inputCol=f"{c}_n", outputCol=f"{c}_i"), Normalizer(inputCol=f"{c}_i", outputCol=f"{c}_v")]
-    return [*stages, VectorAssembler(inputCols=[f"{c}_v" for c in columns], outputCol="features")]
+
+SECTIONS = {"words": sparse.word_grams(1, 2), "chars": sparse.char_grams(3, 4)}
+
+
+def with_words(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Both sections' words, in the place of the text."""
+    return rows.withColumns({"words": text.word_tokens(F.col(column)), "chars": F.regexp_extract_all(F.lower(column), F.lit(r"(?U)\S+"), 0)}).drop(column)
+
+
+def tfidf_vectors(rows: DataFrame, known: sparse.Vocabulary) -> DataFrame:
+    """Rows of ``with_words`` with ``features``: counts by idf, each section of length one, joined to one vector."""
+    idf, begins, size = known.idf, np.array(known.begins), max(1, len(known.df))
+
+    def finish(n: int, row: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+        value, part = count * idf[at], row * len(begins) + np.searchsorted(begins, at, "right")
+        norm = np.sqrt(np.bincount(part, value * value, minlength=1))[part]
+        value = np.divide(value, norm, out=np.zeros(len(value)), where=norm > 0)
+        lists = [pa.ListArray.from_arrays(sparse.offsets(n, row), v) for v in (pa.array(at.astype(np.int32)), pa.array(value))]
+        return [pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], ["type", "size", "indices", "values"])]
+
+    return sparse.placed(rows, SECTIONS, known, finish, [T.StructField("features", VectorUDT())])
 
 
 def logistic(strength: float, rows: int, weight: str | None = None) -> LogisticRegression:
@@ -44,20 +67,23 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "label").withColumn("weight", total / (2 * F.col("_c"))).drop("_c")  # two rows
 
 
-def fit_text(rows: DataFrame, strength: float = 4.0, size: int = 40_000, kind: str = "logistic", weight: str | None = None) -> PipelineModel:
-    grams = with_grams(rows)
+def fit_text(rows: DataFrame, strength: float = 4.0, size: int = 40_000, kind: str = "logistic", weight: str | None = None) -> TextModel:
+    """A text is cut and counted twice, for the terms and for its vector; the vectors are written once and the classifier reads them."""
+    words = with_words(rows)
+    known = sparse.vocabulary(words, SECTIONS, size)
+    vectors = durable(tfidf_vectors(words.select("label", *([weight] if weight else []), *SECTIONS), known))
     if kind == "bayes":
         last = NaiveBayes(modelType="complement", smoothing=0.4)
     elif kind == "svc":
-        last = LinearSVC(regParam=1 / (strength * max(1, rows.count())), standardization=False)
+        last = LinearSVC(regParam=1 / (strength * max(1, known.rows)), standardization=False)
     else:
-        last = logistic(strength, rows.count(), weight)
-    return Pipeline(stages=[*tfidf_stages(["words", "chars"], size), last]).fit(grams)
+        last = logistic(strength, known.rows, weight)
+    return TextModel(known, last.fit(vectors))
 
 
-def text_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def text_scores(model: TextModel, rows: DataFrame) -> DataFrame:
     """``id, label, score``; margins for machines without probabilities."""
-    out = model.transform(with_grams(rows))
+    out = model.classifier.transform(tfidf_vectors(with_words(rows.select("id", "label", "text")), model.known))
     score = vector_to_array("probability")[1] if "probability" in out.columns else vector_to_array("rawPrediction")[1]
     return out.select("id", "label", score.alias("score"))
 
@@ -148,7 +174,7 @@ def stack_features(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.withColumn("features", array_to_vector(score_features(F.array(*columns))))
 
 
-def distilled(gold: DataFrame, teacher: DataFrame, weight: float, strength: float = 4.0) -> PipelineModel:
+def distilled(gold: DataFrame, teacher: DataFrame, weight: float, strength: float = 4.0) -> TextModel:
     """Gold rows of weight 1 and, for other rows, both labels weighted by the teacher's probability."""
     from quillstone.operators.labels import soft_copies
 
