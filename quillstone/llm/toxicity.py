@@ -47,7 +47,8 @@ PLAIN = re.compile(r"[^\W\d_]+").fullmatch
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
 EDGES = re.compile(r"^[\W_]*?(?=[\w@$!|+€£(<])|[.,;:?!\"')\]}]+$|([^\w\s])\1{2,}[.,;:]*$")
-SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€£]\s+){2,}[\w@$!|+€£](?!\S)")
+#: A mark that may stand alone for a letter; whether a length is that of one.
+MARK, ONE = re.compile(r"[\w@$!|+€£]").fullmatch, (1).__eq__
 #: Marks by the letter they are folded to (i as l, for the marks that are both), separators dropped.
 FOLD = str.maketrans({m: c[-1].replace("i", "l") for m, c in LOOKALIKE.items()} | {"i": "l"} | dict.fromkeys(SEPARATORS))
 
@@ -127,6 +128,8 @@ def decode(seen: str, model: CharModel) -> str:
 
 def settled(token: str, model: CharModel) -> str | None:
     """A lower-case token as a plain word where nothing need be decoded."""
+    if token.isalpha():
+        return token if token in model.known or not DOUBLE.search(token) else None
     for word in (token, EDGES.sub("", token)):
         # known words stay, and letters of which none is doubled have nothing to restore
         if word in model.known or PLAIN(word) and not DOUBLE.search(word):
@@ -147,6 +150,8 @@ def restored(token: str, model: CharModel) -> str:
 
 def folded(token: str) -> str:
     """A token's rough shape, alike for a word and all that may be decoded to it."""
+    if token.isalpha():  # has no edges, marks or separators
+        return DOUBLE.sub(r"\1", token.replace("i", "l"))
     shape = EDGES.sub("", token).translate(FOLD)
     return DOUBLE.sub(r"\1", shape if PLAIN(shape) else "".join(filter(str.isalpha, shape)))
 
@@ -157,9 +162,44 @@ class Shapes:
     def __init__(self, features):
         self.whole = frozenset(folded(f) for f in features if f[0] != "^")
         self.prefixes = frozenset(folded(f[1:]) for f in features if f[0] == "^")
+        self.lengths = sorted(set(map(len, self.prefixes)))
 
     def may(self, shape: str) -> bool:
-        return shape in self.whole or any(shape[:n] in self.prefixes for n in range(1, min(6, len(shape)) + 1))
+        if shape in self.whole:
+            return True
+        for n in self.lengths:
+            if shape[:n] in self.prefixes:
+                return True
+        return False
+
+
+class Memo(dict):
+    """What ``learn`` says of tokens, in two generations, so that it stays small."""
+
+    def __init__(self, learn: Callable[[str], tuple]):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, token: str) -> tuple:
+        known = self.old.get(token)
+        if known is None:
+            known = self.learn(token)
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[token] = known
+        return known
+
+
+def spaced(tokens: list[str]) -> Iterator[str]:
+    """Three or more single marks in a row, by blanks."""
+    if sum(map(ONE, map(len, tokens))) < 3:
+        return
+    begin = 0
+    for i in [i for i, t in enumerate(tokens) if len(t) != 1 or not MARK(t)] + [len(tokens)]:
+        if i - begin > 2:
+            yield " ".join(tokens[begin:i])
+        begin = i + 1
 
 
 def word_features(word: str) -> list[str]:
@@ -171,53 +211,52 @@ class Scorer:
 
     def __init__(self, model: CharModel, weights: dict[str, float], curve: tuple[float, float, float]):
         self.model, self.weights, self.curve = model, weights, curve
-        self.memo: dict[str, tuple[float, str]] = {}
-        self.old: dict[str, tuple[float, str]] = {}
         self.able = Shapes(weights)
         self.whole = frozenset(w for w in self.able.whole if len(w) > 1)
         self.begun = frozenset(w[:n] for w in self.whole for n in range(1, len(w) + 1))
-        self.longest = max(map(len, self.whole), default=0)
+        self.pieces = frozenset(w[a:b] for w in self.whole for a in range(len(w) + 1) for b in range(a, len(w) + 1))
+        self.memo = Memo(self._learn)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "old": {}}
-
-    def _learn(self, token: str) -> tuple[float, str]:
-        """A token's evidence, and its shape where that may be a part of a word's (else a blank)."""
-        known = self.old.get(token)
-        if known is None:
-            shape, found = folded(token), 0.0
-            if self.able.may(shape):
-                word = restored(token, self.model)
-                found = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
-            known = (found, shape) if len(shape) <= self.longest else (found, " ")
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        self.memo[token] = known
-        return known
-
-    def _chunks(self, tokens: list[str], shapes: list[str]) -> Iterator[str]:
+        return self.__dict__ | {"memo": None}
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state, memo=Memo(self._learn))
+
+    def _learn(self, token: str) -> tuple[float, str, bool] | tuple[()]:
+        """A token's evidence, its shape where that may be a part of a word's (else a blank), and whether such a word begins so;
+        nothing for a token without either."""
+        shape, found = folded(token), 0.0
+        if self.able.may(shape):
+            word = restored(token, self.model)
+            found = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
+        part = shape in self.pieces
+        return (found, shape if part else " ", shape in self.begun) if found or part else ()
+
+    def _chunks(self, tokens: list[str], known: list[tuple]) -> Iterator[str]:
         """Words behind neighbouring tokens that together have the shape of a word with evidence."""
         begun = self.begun
-        for i, seen in enumerate(shapes[:-1]):
-            if seen not in begun:
-                continue
+        for i in [i for i, k in enumerate(known) if k and k[2]]:
+            seen = known[i][1]
             for j in range(i + 1, len(tokens)):
-                seen = DOUBLE.sub(r"\1", seen + shapes[j])
+                if not known[j]:
+                    break
+                seen = DOUBLE.sub(r"\1", seen + known[j][1])
                 if seen not in begun:
                     break
-                if seen in self.whole and max(map(len, tokens[i : j + 1])) > 1:  # single marks are SPACED
+                if seen in self.whole and max(map(len, tokens[i : j + 1])) > 1:  # single marks are spaced
                     parts = [EDGES.sub("", p) for p in tokens[i : j + 1]]
                     yield from (w for w in decode(" ".join(parts), self.model).split() if w not in parts)
 
     def evidence(self, text: str) -> tuple[float, float]:
         """The strongest and the summed evidence of a text's words."""
-        text = text.lower()
-        tokens = text.split()
-        memo, learn = self.memo, self._learn
-        known = [memo[t] if t in memo else learn(t) for t in tokens]
-        found = [k[0] for k in known]
-        found += [learn(w)[0] for m in SPACED.finditer(text) for w in decode(" ".join(m.group().split()), self.model).split()]
-        found += [learn(w)[0] for w in self._chunks(tokens, [k[1] for k in known])]
+        tokens = text.lower().split()
+        memo = self.memo
+        known = list(map(memo.__getitem__, tokens))
+        found = [k[0] for k in known if k]
+        more = [w for run in spaced(tokens) for w in decode(run, self.model).split()]
+        more += self._chunks(tokens, known)
+        found += [memo[w][0] for w in more if memo[w]]
         return max(found, default=0.0), math.log1p(math.fsum(found))
 
     def score(self, text: str) -> float:
@@ -285,25 +324,28 @@ def _words(rows: Rows) -> Iterator[Counter]:
 def _features(rows: Rows, model: CharModel, able: Shapes | set[str] | None, only: dict | None = None) -> Iterator[Counter]:
     """In how many rows each feature (of ``only``) is; tokens are decoded where their shape, or its beginning, is ``able`` (None: nowhere)."""
     found: Counter = Counter()
-    plain: dict[str, list[str]] = {}
 
-    def of(word: str) -> list[str]:
-        return [f for f in word_features(word) if only is None or f in only]
+    def of(word: str) -> tuple[str, ...]:
+        return tuple(f for f in word_features(word) if only is None or f in only)
+
+    starts = None if only is None else {f.lstrip("^")[:4] for f in only}
 
+    def told(token: str) -> tuple[str, ...]:
+        if able is None:  # an alphabetic token is settled as itself or not at all
+            return () if token.isalpha() and token[:4] not in starts else of(settled(token, model) or "")
+        shape = folded(token)
+        return of(restored(token, model)) if (shape[:3] in able if isinstance(able, set) else able.may(shape)) else ()
+
+    memo = Memo(told)
     for text, _ in rows:
-        lower = text.lower()
+        tokens = text.lower().split()
         own: set[str] = set()
-        for t in set(lower.split()):
-            told = plain.get(t)
-            if told is None:
-                shape = "" if able is None else folded(t)
-                told = plain[t] = of(settled(t, model) or "") if able is None else of(restored(t, model)) if (shape[:3] in able if isinstance(able, set) else able.may(shape)) else []
-            own.update(told)
-        own.update(f for m in (SPACED.finditer(lower) if able is not None else ()) for w in decode(" ".join(m.group().split()), model).split() for f in of(w))
+        own.update(*filter(None, map(memo.__getitem__, set(tokens))))
+        own.update(f for run in (spaced(tokens) if able is not None else ()) for w in decode(run, model).split() for f in of(w))
         found.update(own)
-        if len(plain) > MEMO:
+        if len(found) > MEMO:
             yield found
-            found, plain = Counter(), {}
+            found = Counter()
     yield found
 
 
@@ -335,7 +377,7 @@ def _fitted(count: Callable[..., Counter], known: Callable[[set[str]], Iterable[
     # tokens of other shapes are never looked up
     model.known = frozenset(w for w in model.known if scorer.able.may(folded(w)))
     scorer.curve = _curve(sums(scorer))
-    scorer.memo, scorer.old = {}, {}
+    scorer.memo = Memo(scorer._learn)
     return scorer
 
 

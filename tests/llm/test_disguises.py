@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -61,3 +62,26 @@ def test_viterbi_finds_the_best_of_all_paths():
 def test_long_tokens_take_time_in_proportion():
     model = toxicity.CharModel(Counter({"stupid": 9}))
     assert len(toxicity.decode("st1" * 100_000, model)) > 100_000
+
+
+def test_single_marks_in_a_row_are_found_among_the_tokens():
+    """As by a pattern over the whole text, which costs far more."""
+    pattern = re.compile(r"(?<!\S)(?:[\w@$!|+€£]\s+){2,}[\w@$!|+€£](?!\S)")
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "é", "$", "-", "7", "ab", "🙂", "_"]) + rng.choice([" ", " ", "\n", "\u00a0\t", "\x1c", ""]) for _ in range(rng.randrange(14)))
+        assert list(toxicity.spaced(text.split())) == [" ".join(m.group().split()) for m in pattern.finditer(text)], repr(text)
+
+
+def test_tokens_without_marks_fold_alike():
+    rng = random.Random(6)
+    for _ in range(2000):
+        token = "".join(rng.choice("aabiilz²ßıé１xⅷ") for _ in range(rng.randrange(1, 9)))
+        shape = toxicity.EDGES.sub("", token).translate(toxicity.FOLD)
+        assert toxicity.folded(token) == toxicity.DOUBLE.sub(r"\1", shape if toxicity.PLAIN(shape) else "".join(filter(str.isalpha, shape))), token
+
+
+def test_most_tokens_are_kept_without_evidence(scorer):
+    """A token that has none and is no part of such a word is one empty entry of the memo."""
+    scorer.score("quick quick bridge stupid")
+    assert scorer.memo["bridge"] == () and scorer.memo["stupid"][0] > 0
