@@ -16,12 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.operators import labels as label_ops
-from quillstone.operators import metrics
+from quillstone.operators import metrics, sparse
 
 SUMS = pa.schema([("problem", pa.int32()), ("loss", pa.float64()), ("gradient", pa.binary())])
 _SUMS = "problem int, loss double, gradient binary"
@@ -54,21 +54,17 @@ class Features:
     begins: list[int]
 
 
-def features(rows: DataFrame, sections: list[str], most: int = 40_000, least: float = 2) -> Features:
-    """N-grams of the array columns ``sections``: each section's most frequent first, so a smaller model's features are
-    the first ones.  Places are ints, and vocabularies have at most ``most`` terms."""
-    idf, begins, places, values = [], [0], [], []
-    for i, name in enumerate(sections):
-        counter = CountVectorizer(inputCol=name, outputCol=f"_n{i}", vocabSize=most, minDF=least).fit(rows)
-        rows = counter.transform(rows)
-        idf.append(IDF(inputCol=f"_n{i}", outputCol="_").fit(rows).idf.toArray() + 1)
-        rows = rows.withColumn(f"_n{i}", F.unwrap_udt(f"_n{i}"))
-        begin = F.lit(begins[-1])
-        places.append(F.transform(F.col(f"_n{i}.indices"), (lambda b: lambda k: k + b)(begin)))
-        values.append(F.transform(F.col(f"_n{i}.values"), lambda n: 1 + F.log(n)))
-        begins.append(begins[-1] + len(counter.vocabulary))
-    rows = rows.withColumns({"at": F.concat(*places), "value": F.concat(*values)}).drop(*sections, *[f"_n{i}" for i in range(len(sections))])
-    return Features(rows, np.concatenate(idf), begins)
+def features(rows: DataFrame, sections: list[str] | dict[str, sparse.Cut], most: int = 40_000, least: float = 2) -> Features:
+    """N-grams of the array columns ``sections`` (with the way to cut each of them, if they hold words): each section's most frequent
+    first, so a smaller model's features are the first ones.  Places are ints, and vocabularies have at most ``most`` terms."""
+    cuts = sections if isinstance(sections, dict) else dict.fromkeys(sections, sparse.given)
+    known = sparse.vocabulary(rows, cuts, most, least)
+
+    def finish(n: int, row: np.ndarray, at: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(sparse.offsets(n, row), v) for v in (pa.array(at.astype(np.int32)), pa.array(1 + np.log(count)))]
+
+    fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
+    return Features(sparse.placed(rows, cuts, known, finish, fields), known.idf + 1, known.begins)
 
 
 @dataclass
@@ -118,11 +114,13 @@ def _design(batch: pa.RecordBatch, idf: np.ndarray, begins: list[int], sizes: li
     at = batch.column("at").flatten().to_numpy()
     value = batch.column("value").flatten().to_numpy() * idf[at]
     row = np.repeat(np.arange(len(counts)), counts)
-    section = np.searchsorted(begins, at, "right") - 1
+    section = np.searchsorted(begins, at, "right") - 1 if len(begins) > 2 else np.zeros(len(at), np.int64)
     found = {}
     for size in set(sizes):
-        keep = np.ones(len(at), bool) if size is None else at - np.asarray(begins)[section] < size
-        r, a, v, s = row[keep], at[keep], value[keep], section[keep]
+        r, a, v, s = row, at, value, section
+        if size is not None:
+            keep = at - np.asarray(begins)[section] < size
+            r, a, v, s = row[keep], at[keep], value[keep], section[keep]
         norm = np.sqrt(np.bincount(r * len(begins) + s, v * v, len(counts) * len(begins)))
         found[size] = r, a, v / np.maximum(norm[r * len(begins) + s], 1e-300)
     return found
@@ -224,7 +222,7 @@ def scored(found: Features, problems: list[tuple[Setting, int]], weights: np.nda
     return found.rows.select("id", "held", "at", "value").mapInArrow(run, f"id {kind}, setting string, held_group int, score double")
 
 
-def search(docs: DataFrame, votes: DataFrame, sections: list[str], choices: list[Setting], thresholds: list[float], floor: float, holdouts: dict[str, list[str]] | None = None, most: int = 40_000, least: float = 2, at_once: int = 24, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, votes: DataFrame, sections: list[str] | dict[str, sparse.Cut], choices: list[Setting], thresholds: list[float], floor: float, holdouts: dict[str, list[str]] | None = None, most: int = 40_000, least: float = 2, at_once: int = 24, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The settings ranked by what held-out groups show, and the held-out scores ``id, setting, held_group, score, label``.
 
     ``docs``: ``id`` and the n-gram columns.  ``votes``: ``record_id, label_file, should_wake``; training takes a record's
@@ -250,7 +248,8 @@ def search(docs: DataFrame, votes: DataFrame, sections: list[str], choices: list
     held = F.array(*[F.exists(names, (lambda some: lambda name: matches(name, some))(some)) for some in patterns])
     rows = docs.join(gold, "id").join(files, "id", "left").withColumn("held", held).drop("_files")
     found = features(rows, sections, most, least)
-    found.rows = found.rows.persist()
+    # a task of a pass sends a vector a problem: there are as many as keep the cluster busy, however large the input
+    found.rows = found.rows.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         by = found.rows.select("label", "weight", F.posexplode("held").alias("h", "out")).where("not out").groupBy("h", "label").agg(F.sum("weight").alias("w")).collect()  # two rows a group
         sums = {(r.h, int(r.label)): r.w for r in by}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import gates, scoring, tuning
+from quillstone.operators import gates, scoring, sparse, tuning
 from quillstone.plans.tables import SCORED, corpus, scored, votes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,7 @@ def gate_leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six settings, each of the three label files held out in turn."""
-    docs = corpus(spark, sf_dir).select("id", scoring.word_section(high=2).alias("words"))
+    docs = corpus(spark, sf_dir).select("id", scoring.word_section().alias("words"))
     voted = votes(spark, sf_dir).where("error is null")
-    found, _ = tuning.search(docs, voted, ["words"], tuning.settings([0.5, 2.0, 8.0]), FINE, 0.6)
+    found, _ = tuning.search(docs, voted, {"words": sparse.word_grams(1, 2)}, tuning.settings([0.5, 2.0, 8.0]), FINE, 0.6)
     return found
