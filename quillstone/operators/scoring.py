@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars, text
-from quillstone.operators.store import durable
+from quillstone.operators.store import durable, mapped
 
 #: N-grams of a block of documents, from which the next one begins.
 BLOCK = 3_000_000
@@ -61,7 +61,7 @@ def counted(docs: DataFrame, key: str, sections: dict[str, Column], known: dict[
                     yield pa.RecordBatch.from_arrays(columns, ["key", "section", "term", "count"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key), *sections.values()).mapInArrow(run, f"key {kind}, section string, term string, count long")
+    found = mapped(docs.select(F.col(key), *sections.values()), run, f"key {kind}, section string, term string, count long")
     return found.withColumnRenamed("key", key)
 
 

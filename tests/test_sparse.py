@@ -48,3 +48,14 @@ def test_null_texts_and_no_terms(spark):
     """A null text counts as empty; without a term that two rows share the classifier still gives scores."""
     rows = spark.createDataFrame([(1, 1.0, None), (2, 0.0, "ab"), (3, 1.0, "")], "id long, label double, text string")
     assert training.text_scores(training.fit_text(rows), rows).count() == 3
+
+
+def test_counted_takes_batches_of_bounded_bytes(spark):
+    """Whatever the rows of a partition, no batch of much over 4 MiB meets the worker (a batch of 10,000 rows of these would be 70 MB)."""
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import scoring
+
+    docs = spark.range(0, 4000, 1, 1).withColumn("w", F.array_repeat(F.lit("word"), 1000))
+    assert scoring.counted(docs, "id", {"word": F.col("w")}).agg(F.sum("count")).first()[0] == 4_000_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
