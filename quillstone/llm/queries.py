@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bestfit, jpeg, maskedlm, mtree, packing, phrases, pieces, quality, sharding, simhash, sql, substrings, toxicity, variants
+from quillstone.llm import bestfit, jpeg, maskedwords, mtree, packing, phrases, pieces, quality, sharding, simhash, sql, substrings, toxicity, variants
 from quillstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_maskedlm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maskedlm.score(table(spark, sf_dir, "documents"))
+    return maskedwords.score(table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
