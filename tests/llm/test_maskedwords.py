@@ -109,7 +109,7 @@ def test_most_frequent_words(spark):
 
 
 def test_held_out_texts_are_likelier_than_under_their_words_alone(spark):
-    """Nothing was tuned on this split."""
+    """The weight was not tuned; the prior and the steps of the network were chosen on another split of this table."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 3
     model = mw.learn(docs.where(~fold))
