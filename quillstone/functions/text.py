@@ -32,6 +32,8 @@ CORPUS_CONTROL_PREFIXES = (
     "We need answer",
     "We need respond",
 )
+# Fixed value: the space separators (Zs), all that DuckDB's ltrim takes off; tabs and line ends stay.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 PASTE_PREFIXES = (
     "# agents.md instructions",
     "<environment_context>",
@@ -103,6 +105,12 @@ def is_corpus_control(text: Column) -> Column:
     return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), holds)
 
 
+def begins_with(text: Column, prefix: str, lowered: bool = False) -> Column:
+    """SQL's ``starts_with(ltrim(text), prefix)``, null for a null text; ``lowered`` of the lower-cased text, a character for each as in DuckDB."""
+    begin = F.substring(F.ltrim(text, F.lit(SPACES)), 1, len(prefix))
+    return F.startswith(F.lower(F.translate(begin, "\u0130", "i")) if lowered else begin, F.lit(prefix))
+
+
 def is_control_phrase(text: Column) -> Column:
     return F.lower(compact(text)).isin(*CONTROL_PHRASES)
 
